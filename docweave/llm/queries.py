@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import text_repair
+from docweave.llm import packing, text_repair, tokens
 from docweave.sources.tables import read_table, spread
 
 GARBLED = (("manifests", "manifest_row_id", ["title"]), ("ref_regions", "region_row_id", ["text"]), ("ref_nodes", "node_row_id", ["title"]))
@@ -68,3 +68,39 @@ def p3_clean(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_forms, p3_found, p3_clean)}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(read_table(spark, d, "documents").select("doc_id", "text"))
+
+
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids of every document by byte_bpe_50k."""
+    return tokens.token_ids(_documents(spark, d), "doc_id", "text")
+
+
+def p6_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Length of every document in tokens."""
+    return tokens.token_counts(_documents(spark, d), "doc_id", "text")
+
+
+def _capacities(spark: SparkSession, d: str) -> dict[str, int]:
+    rows = read_table(spark, d, "pack_capacities").select("capacity_code", "capacity_tokens").where("capacity_tokens > 0").limit(1001).collect()
+    if len(rows) > 1000:
+        raise ValueError("pack_capacities is a list of permitted lengths; over 1,000 of them are not one")
+    return {r["capacity_code"]: r["capacity_tokens"] for r in rows}
+
+
+def p7_pack(spark: SparkSession, d: str) -> DataFrame:
+    """Every document packed into containers of each capacity, and once more into all capacities jointly."""
+    capacities = _capacities(spark, d)
+    packings = {code: {code: tokens_} for code, tokens_ in sorted(capacities.items())} | {"joint": capacities}
+    return packing.pack(tokens.token_counts(_documents(spark, d), "doc_id", "text"), "doc_id", "tokens", packings)
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The containers of each packing with their contents in tokens."""
+    return packing.containers(p7_pack(spark, d))
+
+
+QUERIES |= {f.__name__: f for f in (p6_ids, p6_counts, p7_pack, p7_containers)}
