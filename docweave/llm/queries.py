@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import packing, text_repair, tokens
+from docweave.llm import packing, subjects, text_repair, tokens
 from docweave.sources.tables import read_table, spread
 
 GARBLED = (("manifests", "manifest_row_id", ["title"]), ("ref_regions", "region_row_id", ["text"]), ("ref_nodes", "node_row_id", ["title"]))
@@ -104,3 +104,18 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (p6_ids, p6_counts, p7_pack, p7_containers)}
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """The subject areas of every document."""
+    return subjects.subjects_of(read_table(spark, d, "documents"), read_table(spark, d, "subject_labels"), read_table(spark, d, "subjects"))
+
+
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents treat each subject area."""
+    found = p8_found(spark, d)
+    every = read_table(spark, d, "subjects").select(F.lower(F.trim("subject_code")).alias("subject_code")).distinct()
+    return every.join(found.groupBy("subject_code").agg(F.count("*").alias("documents")), "subject_code", "left").fillna(0, ["documents"])
+
+
+QUERIES |= {f.__name__: f for f in (p8_found, p8_composition)}
