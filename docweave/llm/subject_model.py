@@ -23,6 +23,7 @@ _ENUMERATOR = re.compile(r"\s*(?:(?:điều|dieu|article|khoản|khoan|mục|muc
 _LEADER = re.compile(r"[ \t]*(?:\.[ \t]?){4,}\s*\d*\s*$|\s*…{2,}\s*\d*\s*$", re.M)
 _END = re.compile(r"(?<=[.!?])[\"”»)]?\s+(?=\S)")
 _BREAK = re.compile(r"\r\n?| | |\x0b|\x0c")
+_BLANKS = re.compile(r"[ \t\u00a0]{2,}")
 # How letterheads, legal bases and closing formulas begin, without accents.
 _FORMAL = re.compile(
     r"(?:can cu\b|theo de nghi\b|xet (?:ket qua|de nghi|to trinh)|quyet dinh\s*:?$|luu\s*:|noi nhan\b|so\s*:|kinh (?:trinh|gui)|van ban nay co hieu luc|(?:cac|nhung) (?:co quan|don vi) co ten|"
@@ -69,9 +70,11 @@ def sentences(text: str | None) -> list[str]:
     """The sentences of a text, formal ones left out, enumeration and leaders taken off, wrapped lines joined."""
     if not text or text.isspace():
         return []
+    if not unicodedata.is_normalized("NFC", text):
+        text = unicodedata.normalize("NFC", text)
     units: list[str] = []
     open_ = False  # the last unit goes on in the next line
-    for line in _BREAK.sub("\n", text).split("\n"):
+    for line in _BLANKS.sub(" ", _BREAK.sub("\n", text)).split("\n"):
         if not line.strip():
             open_ = False if units and units[-1][-1:] in ".;:!?" else open_
             continue
@@ -115,12 +118,13 @@ def _hash(text: str, seed: int) -> int:
 
 class Features(NamedTuple):
     """Hashed features of some sentences: the table rows, where each sentence begins and ends, each feature's weight,
-    and for gradients the features in the order of their rows, the rows touched and where each begins in that order."""
+    and for gradients the same by table row: each feature's sentence and weight, the rows touched and where each begins."""
 
     rows: np.ndarray
     bounds: np.ndarray
     weights: np.ndarray
-    order: np.ndarray
+    sentence_by_row: np.ndarray
+    weight_by_row: np.ndarray
     touched: np.ndarray
     first: np.ndarray
 
@@ -171,7 +175,9 @@ def training_features(texts: list[str]) -> Features:
     every = np.concatenate(rows) if rows else empty
     order = np.argsort(every, kind="stable")
     touched, first = np.unique(every[order], return_index=True)
-    return Features(every, bounds, (np.concatenate(weights) if weights else empty).astype(np.float32), order, touched, first)
+    weight = (np.concatenate(weights) if weights else empty).astype(np.float32)
+    sentence = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(bounds))
+    return Features(every.astype(np.int32), bounds, weight, sentence[order], weight[order], touched.astype(np.int32), first)
 
 
 # ---------------------------------------------------------------- the model
@@ -211,8 +217,7 @@ def gradient(f: Features, m: Model, targets: np.ndarray, importance: np.ndarray)
     d = ((p - targets) * importance[:, None]).astype(np.float32)
     loss = float(-(importance[:, None] * (targets * np.log(p + 1e-9) + (1 - targets) * np.log(1 - p + 1e-9))).sum())
     dh = d @ m.outputs.T
-    per = np.repeat(dh, np.diff(f.bounds), axis=0) * f.weights[:, None]
-    rows = np.add.reduceat(per[f.order], f.first, axis=0) if f.touched.size else np.zeros((0, m.embeddings.shape[1]), np.float32)
+    rows = np.add.reduceat(dh[f.sentence_by_row] * f.weight_by_row[:, None], f.first, axis=0) if f.touched.size else np.zeros((0, m.embeddings.shape[1]), np.float32)
     return f.touched, rows.astype(np.float32), (h.T @ d).astype(np.float32), d.sum(0), loss
 
 

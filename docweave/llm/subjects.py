@@ -16,8 +16,11 @@ from docweave.sources.tables import checkpointed, spread
 
 #: Labelled documents to learn from at most, taken by the hash of their id; the classifier's documented bound.
 MAX_LABELLED = 1_500
-#: Steps of full gradients, and those before which sentences are assigned anew to their documents' subjects.
-STEPS, REASSIGN = 48, (18, 28, 38)
+#: Steps, and those before which sentences are assigned anew to their documents' subjects.
+STEPS, REASSIGN = 48, (20, 30, 40)
+RATE = 0.07
+#: Chunks of each part; a step takes one chunk of every part in turn.
+CHUNKS = 4
 #: Parts into which the labelled documents are dealt; each sends one gradient a step.
 PARTS = 6
 ROWS_AT_ONCE = 256
@@ -37,14 +40,13 @@ def _unpack(data: bytes) -> dict[str, np.ndarray]:
 def _mapped(f: Callable[[int, dict[str, np.ndarray]], dict[str, np.ndarray]]):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts, data = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out = [_pack(f(p, _unpack(d))) for p, d in zip(parts, data, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(out, pa.binary())], names=["part", "data"])
+            out = [_pack(f(p, _unpack(d))) for p, d in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["part", "chunk", "data"])
 
     return run
 
 
-_PART_SCHEMA = "part int, data binary"
+_PART_SCHEMA = "part int, chunk int, data binary"
 
 
 def labelled_documents(documents: DataFrame, labels: DataFrame, key: str, text: str, code: str, codes: list[str], most: int = MAX_LABELLED) -> DataFrame:
@@ -59,7 +61,7 @@ def labelled_documents(documents: DataFrame, labels: DataFrame, key: str, text:
 
 
 def train(labelled: DataFrame, key: str, text: str, subjects: int, steps: int = STEPS) -> sm.Model | None:
-    """The model after ``steps`` full gradients, each summed over all parts; None if there is nothing to learn from.
+    """The model after ``steps`` gradients, each summed over a chunk of every part; None if there is nothing to learn from.
 
     The features are written once to the checkpoint folder.  Every step sends the model out and gets one gradient a part,
     of the rows that the part touches; its size is bounded by the table, not by the data.
@@ -68,24 +70,29 @@ def train(labelled: DataFrame, key: str, text: str, subjects: int, steps: int =
     sc = spark.sparkContext
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts: list[tuple[int, str, list[int]]] = []
+        texts: list[tuple[int, int, str, list[int]]] = []
         for b in batches:
-            texts += zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)
-        texts.sort(key=lambda r: r[0])
-        split = [sm.sentences(t) for _, t, _ in texts]
-        labels = np.zeros((len(texts), subjects), np.float32)
-        for k, (_, _, own) in enumerate(texts):
-            labels[k, own] = 1
-        documents = np.repeat(np.arange(len(texts)), [len(s) for s in split])
-        f = sm.training_features([s for ss in split for s in ss])
-        targets, importance = sm.assign(np.zeros((documents.size, subjects), np.float32), documents, labels, True)
-        data = _pack(f._asdict() | {"documents": documents, "labels": labels, "targets": targets, "importance": importance})
-        yield pa.RecordBatch.from_arrays([pa.array([texts[0][0] if texts else -1], pa.int32()), pa.array([data], pa.binary())], names=["part", "data"])
-
-    dealt = labelled.select(F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int").alias("part"), text, "subjects").repartition(PARTS, "part")
-    parts = checkpointed(dealt.mapInArrow(features, _PART_SCHEMA).where("part >= 0"))
+            texts += zip(*(b.column(k).to_pylist() for k in range(4)), strict=True)
+        for part, chunk in sorted({(p, c) for p, c, _, _ in texts}):
+            own = [(t, labels) for p, c, t, labels in texts if (p, c) == (part, chunk)]
+            split = [sm.sentences(t) for t, _ in own]
+            labels = np.zeros((len(own), subjects), np.float32)
+            for k, (_, some) in enumerate(own):
+                labels[k, some] = 1
+            documents = np.repeat(np.arange(len(own)), [len(s) for s in split])
+            f = sm.training_features([s for ss in split for s in ss])
+            targets, importance = sm.assign(np.zeros((documents.size, subjects), np.float32), documents, labels, True)
+            data = _pack(f._asdict() | {"documents": documents, "labels": labels, "targets": targets, "importance": importance})
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([chunk], pa.int32()), pa.array([data], pa.binary())], names=["part", "chunk", "data"])
+
+    place = F.pmod(F.xxhash64(key), F.lit(PARTS * CHUNKS))
+    dealt = labelled.select((place % PARTS).cast("int").alias("part"), F.floor(place / PARTS).cast("int").alias("chunk"), text, "subjects")
+    # repartitionByRange puts each part in a task of its own; sorting makes sums come out the same every time
+    parts = checkpointed(dealt.repartitionByRange(PARTS, "part").sortWithinPartitions("part", "chunk", text).mapInArrow(features, _PART_SCHEMA))
+    if not parts.limit(1).collect():
+        return None
     model = sm.initial(subjects)
-    optimiser = sm.Adam(model)
+    optimiser = sm.Adam(model, RATE)
 
     def feature_of(d: dict[str, np.ndarray]) -> sm.Features:
         return sm.Features(*(d[k] for k in sm.Features._fields))
@@ -104,11 +111,11 @@ def train(labelled: DataFrame, key: str, text: str, subjects: int, steps: int =
             touched, rows, outputs, bias, loss = sm.gradient(feature_of(d), sm.Model(*sent.value), d["targets"], d["importance"])
             return {"touched": touched.astype(np.int32), "rows": rows, "outputs": outputs, "bias": bias, "loss": np.array(loss), "n": np.array(len(d["targets"]))}
 
-        got = [_unpack(r["data"]) for r in sorted(parts.mapInArrow(_mapped(gradient), _PART_SCHEMA).collect(), key=lambda r: r["part"])]
-        sent.unpersist()
+        got = [_unpack(r["data"]) for r in sorted(parts.where(F.col("chunk") == step % CHUNKS).mapInArrow(_mapped(gradient), _PART_SCHEMA).collect(), key=lambda r: r["part"])]
+        sent.destroy()
         n = sum(int(g["n"]) for g in got)
         if not n:
-            return None
+            continue
         total = [np.zeros_like(x) for x in model]
         for g in got:
             total[0][g["touched"]] += g["rows"]
