@@ -142,7 +142,7 @@ def category(kind: Column, generation: int = 1) -> Column:
 # ---------------------------------------------------------------- boxes
 def projected(value: Column, origin: Column, extent: Column) -> Column:
     """A coordinate on the 0 .. 1000 scale of its page, to 6 places; overshoots up to 1e-6 snap, larger ones are null."""
-    x = F.round((value - origin) / extent * 1000, 6)
+    x = F.round(F.try_divide(value - origin, extent) * 1000, 6)
     snapped = F.when((x < 0) & (x >= -1e-6), 0.0).when((x > 1000) & (x <= 1000 + 1e-6), 1000.0).otherwise(x)
     return F.when((extent > 0) & snapped.between(0, 1000), snapped + 0.0)
 
@@ -160,7 +160,7 @@ def iou(a: Sequence[Column], b: Sequence[Column]) -> Column:
     height = F.greatest(F.lit(0.0), F.least(a[3], b[3]) - F.greatest(a[1], b[1]))
     overlap = width * height
     union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - overlap
-    return F.when(union > 0, overlap / union).otherwise(0.0)
+    return F.when(union > 0, F.try_divide(overlap, union)).otherwise(0.0)
 
 
 # ---------------------------------------------------------------- assets and paths

@@ -155,22 +155,24 @@ def reference_node_violations(nodes: DataFrame) -> DataFrame:
     return defined.unionByName(edge.select(*defined.columns))
 
 
-def cycles(edges: DataFrame, scope: list[str], child: str, parent: str, rounds: int = 64) -> DataFrame:
-    """(scope, child): nodes that are their own ancestor.  Pointers double each round, so 64 rounds outreach any depth.
+def cycles(edges: DataFrame, scope: list[str], child: str, parent: str) -> DataFrame:
+    """(scope, child): nodes that are their own ancestor.
 
-    Rounds stop as soon as no pointer is left; each is one equi-join on the node.
+    Nodes without parents and nodes without children cannot be on a cycle; they are taken off round by round with
+    semi-joins until none is left to take, so only cycles stay (and, where a node has several parents, ways from one
+    cycle to another).  Rounds are as many as the hierarchy is deep.  Null parents and no edges give no cycles.
     """
     from docweave.sources.tables import checkpointed
 
-    step = edges.where(F.col(parent).isNotNull()).select(*scope, F.col(child).alias("_c"), F.col(parent).alias("_p")).distinct()
-    found = step.where("_c = _p").select(*scope, F.col("_c").alias(child))
-    for _ in range(rounds):
-        step = checkpointed(step.where("_c <> _p").alias("a").join(step.select(*scope, F.col("_c").alias("_p"), F.col("_p").alias("_q")), [*scope, "_p"]).select(*scope, "_c", F.col("_q").alias("_p")).distinct())
-        hit = step.where("_c = _p")
-        found = found.unionByName(hit.select(*scope, F.col("_c").alias(child)))
-        if not step.where("_c <> _p").limit(1).collect():
+    rest = checkpointed(edges.where(F.col(parent).isNotNull() & F.col(child).isNotNull()).select(*scope, F.col(child).alias("_c"), F.col(parent).alias("_p")).distinct())
+    size = rest.count()
+    while size:
+        children, parents = rest.select(*scope, F.col("_c").alias("_p")).distinct(), rest.select(*scope, F.col("_p").alias("_c")).distinct()
+        rest = checkpointed(rest.join(children, [*scope, "_p"], "left_semi").join(parents, [*scope, "_c"], "left_semi"))
+        before, size = size, rest.count()
+        if size == before:
             break
-    return found.distinct()
+    return rest.select(*scope, F.col("_c").alias(child)).distinct()
 
 
 def manifest_violations(manifests: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ class SourceError(ValueError):
 
 def json_files(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
     """(path, directory, raw, tree): whole JSON files as VARIANT; tree is null where the text is no JSON."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
     return raw.select("path", F.regexp_replace("path", "/[^/]*$", "").alias("directory"), "raw", F.try_parse_json("raw").alias("tree"))
 
 
@@ -118,7 +118,7 @@ def manifests(spark: SparkSession, path: str, pattern: str = "*.yaml") -> DataFr
             arrays = [pa.array(c, pa.int64()) if k == 15 else pa.array([None if x is None else str(x) for x in c], pa.string()) for k, c in enumerate(columns)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p[0] for p in parsed], pa.string()), *arrays], names=[c.split()[0] for c in MANIFEST_SCHEMA.split(", ")])
 
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True)
     return raw.select(F.col("_metadata.file_path").alias("path"), "value").mapInArrow(run, MANIFEST_SCHEMA)
 
 
