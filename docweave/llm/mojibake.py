@@ -80,6 +80,8 @@ def _single_byte_table(encoding: str) -> dict[str, bytes]:
 
 
 _TABLES = {e: _single_byte_table(e) for e in SINGLE_BYTE}
+#: A text decoded wrongly twice comes out of the first step as Western characters, controls included.
+PLAUSIBLE |= frozenset(_TABLES["cp1252"])
 #: For str.translate: each character's byte as the character of that number, "?" where the encoding has none.
 _BYTES = {e: {b: "?" for b in range(0x80, 0x100)} | {ord(c): chr(b[0]) for c, b in t.items()} for e, t in _TABLES.items()}
 

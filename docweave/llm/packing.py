@@ -126,7 +126,7 @@ def pack(sizes: DataFrame, key: str, size: str, packings: dict[str, dict[str, in
     (container 0 of the smallest capacity if there is none).  Equal keys are different items.  No items give no rows.
     """
     spark = sizes.sparkSession
-    items = checkpointed(sizes.select(F.col(key), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("_size")))
+    items = checkpointed(sizes.select(F.col(key), F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("bigint").alias("_size")))
     limits = F.array(*(F.struct(F.lit(name).alias("packing"), F.lit(max(c.values())).cast("bigint").alias("_most")) for name, c in packings.items()))
     per = items.select(key, "_size", F.explode(limits).alias("_p")).select(key, "_size", "_p.packing", "_p._most")
     last = F.when(F.col("_size") == 0, 0).otherwise(F.expr("(_size - 1) div _most"))
