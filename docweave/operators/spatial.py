@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Sequence
 from fractions import Fraction
 
 import pandas as pd
@@ -104,12 +105,25 @@ def matches(edges: DataFrame, page: list[str]) -> DataFrame:
 def order_accuracy(pairs: DataFrame, document: list[str]) -> DataFrame:
     """(document, comparable, concordant, order_accuracy): pairs of matches whose predicted order agrees with the reference's.
 
-    ``pairs``: document, ref_rank (a total order of all audited pages' matches) and pred_order.  Under two matches the
-    accuracy is null.  Counted by a self-join within a document; equal predicted orders are wrong.
+    ``pairs``: document, ref_rank (a total order of all audited pages' matches) and pred_order.  Under two matches there
+    is no row.  Equal predicted orders are wrong.  Pairs are counted, not made: in reference order each match asks a
+    sorted list how many before it are smaller.
     """
-    a, b = pairs.select(*document, F.col("ref_rank").alias("r1"), F.col("pred_order").alias("p1")), pairs.select(*document, F.col("ref_rank").alias("r2"), F.col("pred_order").alias("p2"))
-    both = a.join(b, document).where("r1 < r2").groupBy(*document).agg(F.count("*").alias("comparable"), F.count_if(F.col("p1") < F.col("p2")).alias("concordant"))
-    return both.withColumn("order_accuracy", F.col("concordant") / F.col("comparable"))
+    kinds = dict(pairs.dtypes)
+
+    def count(group: pd.DataFrame) -> pd.DataFrame:
+        seen: list[int] = []
+        concordant = 0
+        for order in group.sort_values("ref_rank")["pred_order"].tolist():
+            place = bisect_left(seen, order)
+            concordant += place
+            seen.insert(place, order)
+        n = len(seen)
+        return pd.DataFrame([(*(group[k].iloc[0] for k in document), n * (n - 1) // 2, concordant)], columns=[*document, "comparable", "concordant"])
+
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in document) + ", comparable bigint, concordant bigint"
+    done = pairs.select(*document, "ref_rank", "pred_order").groupBy(*document).applyInPandas(count, schema).where("comparable > 0")
+    return done.withColumn("order_accuracy", F.col("concordant") / F.col("comparable"))
 
 
 def share(part: Column, whole: Column) -> Column:

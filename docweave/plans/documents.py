@@ -124,6 +124,12 @@ ORACLE_SQL = {
         case when not coalesce(regexp_full_match(sha256, '[0-9a-f]{64}'), false) then 'sha256_malformed' end, case when not coalesce(byte_size > 0, false) then 'size_not_positive' end,
         case when not coalesce(regexp_full_match(document_id, '[a-z0-9]+(-[a-z0-9]+)*'), false) then 'document_id_malformed' end, case when not coalesce(regexp_full_match(version_id, 'v[1-9][0-9]*'), false) then 'version_id_malformed' end,
         case when effective_on < issued_on then 'effective_before_issue' end]) as rule_id from manifests) select manifest_row_id, rule_id from v where rule_id is not null""",
+    "run_checks": """with v as (select run_id, unnest([case when not coalesce(duration_seconds > 0, false) then 'duration_not_positive' end, case when coalesce(trim(parser_version), '') = '' then 'version_missing' end,
+        case when not coalesce(regexp_full_match(input_sha256, '[0-9a-f]{64}'), false) then 'input_sha256_malformed' end,
+        case when lower(trim(parser)) = 'marker' and not coalesce(parser_version = '2.0.0' and backend = 'fast-no-ocr' and run_mode = 'fast' and output_format = 'json' and disable_ocr, false) then 'marker_baseline' end,
+        case when ingested_at < finished_at then 'ingested_before_finish' end,
+        case when len(list_filter(artifacts, lambda a: coalesce(a.relative_path = '' or regexp_matches(a.relative_path, '\\\\|^/|^[A-Za-z]:|//|/$|(^|/)\\.{1,2}(/|$)'), true))) > 0 then 'artifact_path_unsafe' end]) as rule_id from parser_runs)
+      select run_id, rule_id from v where rule_id is not null""",
     "parser_coverage": """select document_id, version_id, bool_or(lower(trim(parser)) = 'marker') as marker, bool_or(lower(trim(parser)) = 'mineru') as mineru from parser_runs where run_status = 'success' group by all""",
     "artifact_kinds": """with a as (select unnest(artifacts) as a from parser_runs) select a.artifact_kind as artifact_kind, count(*) as n, cast(sum(a.byte_size) as bigint) as bytes,
       count(*) filter (where coalesce(a.relative_path = '' or regexp_matches(a.relative_path, '\\\\|^/|^[A-Za-z]:|//|/$|(^|/)\\.{1,2}(/|$)'), true)) as unsafe from a group by 1""",

@@ -160,6 +160,12 @@ edges as (select document_id, version_id, page_index, run_id, ref_id, cast(ref_o
 """
 ORACLE_SQL = {
     "iou_edges": _SIDES + "select * from edges",
+    "region_checks": """with v as (select document_id, version_id, page_index, region_id, unnest([
+        case when not coalesce(bbox.x0 >= 0 and bbox.y0 >= 0 and bbox.x1 <= 1000 and bbox.y1 <= 1000 and bbox.x0 < bbox.x1 and bbox.y0 < bbox.y1, false) then 'box_invalid' end,
+        case when heading_level is not null and kind <> 'heading' then 'level_on_non_heading' end]) as rule_id from ref_regions),
+      p as (select document_id, version_id, page_index, min(reading_order) as low, max(reading_order) as high, count(distinct reading_order) as d from ref_regions group by document_id, version_id, page_index, annotation_version, created_at)
+      select document_id, version_id, page_index, region_id, rule_id from v where rule_id is not null
+      union all select document_id, version_id, page_index, null, 'order_not_contiguous' from p where low <> 0 or high + 1 <> d""",
     "cycle_check": """with recursive e as (select distinct document_id, version_id, annotation_version, reference_instance_id as c, parent_reference_instance_id as p from ref_nodes where parent_reference_instance_id is not null),
       w as (select document_id, version_id, annotation_version, c, p, 1 as n from e union select w.document_id, w.version_id, w.annotation_version, w.c, e.p, n + 1 from w join e on w.document_id = e.document_id and w.version_id = e.version_id
         and w.annotation_version is not distinct from e.annotation_version and w.p = e.c where w.c <> w.p and n < 12)

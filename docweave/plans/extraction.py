@@ -167,6 +167,10 @@ ORACLE_SQL = {
       count(*) filter (where kind in ('image', 'figure')) as images, cast(sum(length(clean)) as bigint) as characters, cast(max(page_index) + 1 as bigint) as pages from blocks group by run_id""",
     "run_throughput": _BLOCKS + """, p as (select run_id, cast(max(page_index) + 1 as bigint) as pages from blocks group by run_id)
       select p.run_id as run_id, pages, duration_seconds, pages / duration_seconds as pages_per_second from p join parser_runs r on p.run_id = r.run_id where duration_seconds > 0""",
+    "block_checks": _BLOCKS + """, v as (select run_id, document_id || '_' || coalesce(version_id, '') || '_p' || printf('%04d', page_index) || '_b' || printf('%04d', reading_order) as block_id, unnest([
+        case when heading_level is not null and kind <> 'title' then 'heading_level_on_non_title' end, case when x0 is not null and not coalesce(x0 >= 0 and y0 >= 0 and x1 <= 1000 and y1 <= 1000 and x0 <= x1 and y0 <= y1, false) then 'box_invalid' end,
+        case when x0 is null then 'box_missing' end, case when table_body is not null and kind <> 'table' then 'table_on_non_table' end, case when img_path is not null and kind not in ('image', 'figure') then 'image_on_non_image' end]) as rule_id from blocks)
+      select run_id, block_id, rule_id from v where rule_id is not null""",
     "table_shapes": """with t as (select item_id, (length(table_body) - length(replace(table_body, '<tr', ''))) // 3 as row_count, (length(table_body) - length(replace(replace(table_body, '<td', ''), '<th', ''))) // 3 as cells
       from mineru_items where table_body like '%<table%') select item_id, cast(row_count as bigint) as row_count, cast(cells // row_count as bigint) as column_count, cast(cells as bigint) as cells from t""",
     "grid_overlap_violations": 'select item_id, cast(null as integer) as "row", cast(null as integer) as "column", cast(null as bigint) as owners from mineru_items where false',
