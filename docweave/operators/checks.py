@@ -135,6 +135,16 @@ def anchor_partition(blocks: DataFrame, anchors: DataFrame, key: str) -> DataFra
     return violations(both, [key, "block_id"], rules)
 
 
+def evidence_violations(blocks: DataFrame, nodes: DataFrame, anchors: DataFrame, key: str) -> DataFrame:
+    """(rule_id, key, node_id): nodes whose marker is not one anchor, or whose marker text is not what stands there; titles without anchor."""
+    heads = anchors.where("role in ('marker', 'title')").join(blocks.select(key, "block_id", "text"), [key, "block_id"])
+    slice_ = c.strip(F.expr("substring(text, char_start + 1, char_end - char_start)"))
+    per = heads.groupBy(key, "node_id").agg(F.count_if(F.col("role") == "marker").alias("markers"), F.count_if(F.col("role") == "title").alias("titles"), F.max(F.when(F.col("role") == "marker", slice_)).alias("seen"))
+    both = nodes.where("kind <> 'document'").join(per, [key, "node_id"], "left")
+    rules = {"marker_not_once": F.coalesce("markers", F.lit(0)) != 1, "marker_text_differs": c.strip(F.col("marker_text")) != F.col("seen"), "title_without_anchor": F.col("title").isNotNull() & (F.coalesce("titles", F.lit(0)) == 0), "anchor_without_title": F.col("title").isNull() & (F.coalesce("titles", F.lit(0)) > 0)}
+    return violations(both, [key, "node_id"], rules)
+
+
 def region_violations(regions: DataFrame) -> DataFrame:
     """Spatial annotation: empty or reversed boxes, levels on other kinds, and pages whose order is not 0 .. n-1."""
     one = violations(regions, ["document_id", "version_id", "page_index", "region_id"], {"box_invalid": ~c.box_ok(*(F.col(f"bbox.{x}") for x in ("x0", "y0", "x1", "y1")), strict=True), "level_on_non_heading": F.col("heading_level").isNotNull() & (F.col("kind") != "heading")})

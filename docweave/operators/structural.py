@@ -69,6 +69,14 @@ def match(references: DataFrame, predictions: DataFrame, document: list[str]) ->
     return first.select(*columns).unionByName(exact.select(*columns)).unionByName(third).withColumnsRenamed({"_page": "page_index", "_kind": "kind", "_key": "ordinal_key"})
 
 
+def traces(references: DataFrame, predictions: DataFrame, matched: DataFrame, document: list[str]) -> DataFrame:
+    """(document, side, page_index, kind, ordinal_key, path, parent_path): nodes without a match, missed and invented ones."""
+    columns = [*document, "page_index", "kind", "ordinal_key", "path", "parent_path"]
+    missed = references.join(matched.select(*document, F.col("ref_id").alias("id")), [*document, "id"], "left_anti").select(F.lit("missed").alias("side"), *columns)
+    invented = predictions.join(matched.select(*document, F.col("pred_id").alias("id")), [*document, "id"], "left_anti").select(F.lit("invented").alias("side"), *columns)
+    return missed.unionByName(invented)
+
+
 def metric(tp: Column, fp: Column, fn: Column) -> list[Column]:
     """Precision, recall and F1; undefined ones are null, F1 is 0.0 where both are defined and 0."""
     p, r = F.try_divide(tp, tp + fp), F.try_divide(tp, tp + fn)

@@ -128,6 +128,12 @@ def structural_edges(spark: SparkSession, d: str) -> DataFrame:
     return pairs.groupBy("kind").agg(F.count("*").alias("matched"), F.count_if("path_exact").alias("path_exact"), F.count_if("parent_exact").alias("parent_exact"), F.count("title_exact").alias("titles"), F.count_if("title_exact").alias("title_exact"))
 
 
+def structural_traces(spark: SparkSession, d: str) -> DataFrame:
+    """Missed and invented nodes on audited pages."""
+    r, p = _scored_sides(spark, d)
+    return structural.traces(r, p, structural.match(r, p, DOCUMENT), DOCUMENT)
+
+
 def jaccard_cross(spark: SparkSession, d: str) -> DataFrame:
     """Agreement of the two parsers' outlines for each version, over legal, generic and all nodes."""
     _, p = _outline_sides(spark, d)
@@ -146,7 +152,7 @@ def unresolved_candidates(spark: SparkSession, d: str) -> DataFrame:
     return structural.unresolved(events, markers, ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (iou_edges, spatial_matches, spatial_overall, spatial_order, confusion_long, category_prf, region_checks, reference_checks, cycle_check, structural_prf, structural_edges, jaccard_cross, unresolved_candidates)}
+QUERIES = {f.__name__: f for f in (iou_edges, spatial_matches, spatial_overall, spatial_order, confusion_long, category_prf, region_checks, reference_checks, cycle_check, structural_prf, structural_edges, structural_traces, jaccard_cross, unresolved_candidates)}
 
 _SIDES = "with " + ITEMS + """,
 refs0 as (select * from ref_regions qualify row_number() over (partition by document_id, version_id, page_index, region_id order by created_at desc, region_row_id desc) = 1),

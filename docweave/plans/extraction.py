@@ -141,11 +141,17 @@ def hierarchy_edges(spark: SparkSession, d: str) -> DataFrame:
     return own.unionByName(checks.anchor_violations(outline.anchors(records, "doc_id"), "doc_id").drop("block_id"))
 
 
+def evidence_backing(spark: SparkSession, d: str) -> DataFrame:
+    """Outline nodes whose marker or title is not backed by the text; none if all is well."""
+    records = text_outline(spark, d)
+    return checks.evidence_violations(_text_blocks(spark, d), outline.nodes(records, "doc_id"), outline.anchors(records, "doc_id"), "doc_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         list_blocks, tree_blocks, kind_disposition_matrix, kind_transitions, block_summary, run_throughput, block_checks, page_checks, canonical_identity, table_grid_cells, table_shapes, grid_overlap_violations,
-        visible_text_stats, outline_nodes, outline_run_nodes, outline_kinds, outline_diagnostics, outline_partition, hierarchy_edges,
+        visible_text_stats, outline_nodes, outline_run_nodes, outline_kinds, outline_diagnostics, outline_partition, hierarchy_edges, evidence_backing,
     )
 }
 
@@ -175,6 +181,7 @@ ORACLE_SQL = {
       from mineru_items where table_body like '%<table%') select item_id, cast(row_count as bigint) as row_count, cast(cells // row_count as bigint) as column_count, cast(cells as bigint) as cells from t""",
     "grid_overlap_violations": 'select item_id, cast(null as integer) as "row", cast(null as integer) as "column", cast(null as bigint) as owners from mineru_items where false',
     "outline_partition": "select doc_id, cast(null as varchar) as block_id, cast(null as varchar) as rule_id from documents where false",
+    "evidence_backing": "select doc_id, cast(null as varchar) as node_id, cast(null as varchar) as rule_id from documents where false",
     "hierarchy_edges": "select doc_id, cast(null as varchar) as node_id, cast(null as varchar) as rule_id from documents where false",
     "page_checks": _BLOCKS + """, r as (select run_id, min(page_index) as low, max(page_index) as high, count(distinct page_index) as pages from blocks group by run_id)
       select run_id, cast(null as integer) as page_index, 'pages_not_contiguous' as rule_id from r where low <> 0 or high <> pages - 1""",

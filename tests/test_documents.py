@@ -135,6 +135,7 @@ def test_structural(spark):
     assert {(x["ref_id"], x["pred_id"]) for x in m.collect()} == {("r1", "p1"), ("r2", "p2"), ("r3", "p3"), ("r4", "p4")}
     pairs = {x["ref_id"]: x for x in structural.compare(scored_r, scored_p, m, ["d"]).collect()}
     assert (pairs["r1"]["path_exact"], pairs["r1"]["parent_exact"], pairs["r1"]["title_exact"], pairs["r2"]["title_exact"]) == (False, False, True, None)
+    assert [(x["side"], x["kind"]) for x in structural.traces(scored_r, scored_p, m, ["d"]).collect()] == [("missed", "point")]
     total = structural.node_metrics(scored_r, scored_p, m, ["d"]).collect()[0]
     assert (total["tp"], total["fp"], total["fn"]) == (4, 0, 1)
     j = {x["scope"]: x["jaccard"] for x in structural.agreement(r, p, ["d"]).collect()}

@@ -89,6 +89,8 @@ def test_spark_records(spark):
     assert checks.hierarchy_violations(n.where("k is not null"), "k").count() == 0 and checks.node_violations(n, "k").count() == 0
     whole = blocks.where("k is not null and disposition is not null").fillna("", ["text"])
     assert checks.anchor_partition(whole, outline.anchors(records, "k").where("k is not null"), "k").count() == 0
+    assert checks.evidence_violations(whole, n.where("k is not null"), outline.anchors(records, "k"), "k").count() == 0
+    assert checks.evidence_violations(whole.withColumn("text", F.lit("x" * 30)), n.where("k is not null"), outline.anchors(records, "k"), "k").count() == 4
     assert outline.outline_records(blocks.limit(0), "k").count() == 0
     swapped = outline.outline_records(blocks.orderBy("block_id", ascending=False).withColumnRenamed("k", "key").withColumn("node_id", F.lit(0)), "key")
     assert swapped.count() == records.count()
