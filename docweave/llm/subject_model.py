@@ -52,12 +52,25 @@ def _may_be_formal(beginning: str) -> bool:
     return fold(beginning).startswith(_BEGINNINGS)
 
 
-@lru_cache(maxsize=50_000)
-def is_formal(start: str) -> bool:
-    """Whether a sentence that begins so is a letterhead, a legal basis or a closing formula."""
-    if not _may_be_formal(start[:9]) and ", ng" not in start and ", NG" not in start:
+_ISSUER = re.compile(r"(?:uy ban nhan dan|hoi dong nhan dan|so tong hop|ban quan ly vung|vien nghien cuu do thi)\b")
+
+
+def is_formal(sentence: str, ended: bool = False) -> bool:
+    """Whether a whole sentence is a letterhead, a legal basis or a closing formula; ``ended``: it ends without its own full stop."""
+    if not _may_be_formal(sentence[:9]) and ", ng" not in (start := sentence[:60]) and ", NG" not in start:
         return False
-    return bool(_FORMAL.match(fold(start)))
+    folded = fold(sentence)
+    return bool(_FORMAL.match(folded)) and not (ended and _ISSUER.match(folded))
+
+
+def _split(text: str) -> list[str]:
+    return _END.split(text) if ". " in text or "! " in text or "? " in text else [text]
+
+
+def _goes_on(body: str, following: str) -> bool:
+    """Whether a line that begins with an issuer's name is a sentence wrapped into the following line; letterheads are in capitals."""
+    after = following.strip()
+    return not body.isupper() and bool(after) and "|" not in after and any(map(str.isalpha, after)) and not _ENUMERATOR.match(after) and not is_formal(_split(after)[0]) and bool(_ISSUER.match(fold(body[:60])))
 
 
 def _pieces(line: str) -> list[str]:
@@ -73,8 +86,10 @@ def sentences(text: str | None) -> list[str]:
     if not unicodedata.is_normalized("NFC", text):
         text = unicodedata.normalize("NFC", text)
     units: list[str] = []
+    leaders: set[int] = set()  # units that a leader ends
     open_ = False  # the last unit goes on in the next line
-    for line in _BLANKS.sub(" ", _BREAK.sub("\n", text)).split("\n"):
+    lines = _BLANKS.sub(" ", _BREAK.sub("\n", text)).split("\n")
+    for line, following in zip(lines, [*lines[1:], ""], strict=True):
         if not line.strip():
             open_ = False if units and units[-1][-1:] in ".;:!?" else open_
             continue
@@ -90,20 +105,25 @@ def sentences(text: str | None) -> list[str]:
             if not body:
                 open_ = False
                 continue
-            formal = is_formal(body[:60])
+            first, *rest = _split(body)
+            while rest and not any(map(str.isalpha, rest[0])):  # the number after 'No.'
+                first += " " + rest.pop(0)
+            formal = is_formal(first, ended and not rest) and (bool(rest) or ended or "|" in line or not _goes_on(body, following))
             if open_ and not m and not formal and "|" not in line:
                 units[-1] += " " + body
-            elif formal:
+            elif formal and not rest:
                 open_ = False
                 continue
             else:
-                units.append(body)
+                units.append(" ".join(rest) if formal else body)
+            if ended:
+                leaders.add(len(units) - 1)
             open_ = not ended and body[-1] not in ".:!?" and "|" not in line
     out = []
-    for unit in units:
-        for s in _END.split(unit) if ". " in unit or "! " in unit or "? " in unit else [unit]:
+    for k, unit in enumerate(units):
+        for s in _split(unit):
             s = _ENUMERATOR.sub("", s, count=1) if s[:1].isdigit() else s
-            if len(s) > 5 and not is_formal(s[:60]):
+            if len(s) > 5 and not is_formal(s, k in leaders):
                 out.append(s)
     return out
 

@@ -138,6 +138,15 @@ def test_sentences():
     assert subject_model.sentences(None) == subject_model.sentences("") == subject_model.sentences(" \n ") == []
 
 
+def test_formality_is_of_whole_sentences():
+    long = "Ủy ban nhân dân cấp huyện có trách nhiệm biên soạn giáo trình tại phường Yên Trạch trước ngày 11/11/2023."
+    assert subject_model.sentences(long + " Tỷ lệ này tăng.") == [long, "Tỷ lệ này tăng."]
+    assert subject_model.sentences("Căn cứ quy chế làm việc. " + long) == [long]
+    assert subject_model.sentences(long.replace("tại ", "tại\n")) == [long]
+    assert subject_model.sentences(long[:-1] + " .......... 4") == [long[:-1]]
+    assert subject_model.sentences("ỦY BAN NHÂN DÂN THÀNH PHỐ HOA LÂM\nMINUTES OF THE MEETING No. 669\nTỷ lệ này tăng.") == ["Tỷ lệ này tăng."]
+
+
 def test_gradient_is_the_derivative():
     f = subject_model.training_features(["một hai ba", "bốn", ""])
     m = subject_model.Model(*(x.astype(np.float64) for x in subject_model.initial(3)))
