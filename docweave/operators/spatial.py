@@ -149,27 +149,28 @@ def overall(references: DataFrame, predictions: DataFrame, matched: DataFrame, d
     return counts.select(*document, "references", "predictions", "tp", fp.alias("fp"), fn.alias("fn"), *prf(tp, fp, fn), "mean_iou")
 
 
-def confusion(pairs: DataFrame, unmatched_references: DataFrame, unmatched_predictions: DataFrame) -> DataFrame:
-    """(ref_category, pred_category, pairs): dense square over all seen categories, in long form.
+def confusion(pairs: DataFrame, unmatched_references: DataFrame, unmatched_predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, ref_category, pred_category, pairs): dense square over all seen categories, in long form.
 
     ``pairs`` has ref_category and pred_category; the unmatched sides have category.  Categories are a closed list of
     eleven, so the square is small whatever the data.
     """
-    seen = pairs.select(F.explode(F.array("ref_category", "pred_category")).alias("k")).union(unmatched_references.select("category")).union(unmatched_predictions.select("category")).where("k is not null")
-    every = seen.groupBy().agg(F.sort_array(F.collect_set("k")).alias("all"))
-    square = every.select(F.explode("all").alias("ref_category"), "all").select("ref_category", F.explode("all").alias("pred_category"))
-    return square.join(pairs.groupBy("ref_category", "pred_category").agg(F.count("*").alias("pairs")), ["ref_category", "pred_category"], "left").fillna(0, ["pairs"])
+    seen = pairs.select(*by, F.explode(F.array("ref_category", "pred_category")).alias("k")).union(unmatched_references.select(*by, "category")).union(unmatched_predictions.select(*by, "category")).where("k is not null")
+    every = seen.groupBy(*by).agg(F.sort_array(F.collect_set("k")).alias("all"))
+    square = every.select(*by, F.explode("all").alias("ref_category"), "all").select(*by, "ref_category", F.explode("all").alias("pred_category"))
+    key = [*by, "ref_category", "pred_category"]
+    return square.join(pairs.groupBy(*key).agg(F.count("*").alias("pairs")), key, "left").fillna(0, ["pairs"])
 
 
-def per_category(pairs: DataFrame, unmatched_references: DataFrame, unmatched_predictions: DataFrame) -> DataFrame:
-    """(category, tp, fp, fn, precision, recall, f1): diagonal, and off-diagonal plus unmatched on either side."""
+def per_category(pairs: DataFrame, unmatched_references: DataFrame, unmatched_predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, category, tp, fp, fn, precision, recall, f1): diagonal, and off-diagonal plus unmatched on either side."""
     rows = (
-        pairs.select(F.inline(F.array(F.struct(F.col("ref_category").alias("category"), (F.col("ref_category") == F.col("pred_category")).cast("int").alias("tp"), F.lit(0).alias("fp"), (F.col("ref_category") != F.col("pred_category")).cast("int").alias("fn")), F.struct(F.col("pred_category").alias("category"), F.lit(0).alias("tp"), (F.col("ref_category") != F.col("pred_category")).cast("int").alias("fp"), F.lit(0).alias("fn")))))
-        .union(unmatched_references.select("category", F.lit(0), F.lit(0), F.lit(1)))
-        .union(unmatched_predictions.select("category", F.lit(0), F.lit(1), F.lit(0)))
+        pairs.select(*by, F.inline(F.array(F.struct(F.col("ref_category").alias("category"), (F.col("ref_category") == F.col("pred_category")).cast("int").alias("tp"), F.lit(0).alias("fp"), (F.col("ref_category") != F.col("pred_category")).cast("int").alias("fn")), F.struct(F.col("pred_category").alias("category"), F.lit(0).alias("tp"), (F.col("ref_category") != F.col("pred_category")).cast("int").alias("fp"), F.lit(0).alias("fn")))))
+        .union(unmatched_references.select(*by, "category", F.lit(0), F.lit(0), F.lit(1)))
+        .union(unmatched_predictions.select(*by, "category", F.lit(0), F.lit(1), F.lit(0)))
     )
-    sums = rows.groupBy("category").agg(*(F.sum(k).alias(k) for k in ("tp", "fp", "fn")))
-    return sums.select("category", "tp", "fp", "fn", *prf(F.col("tp"), F.col("fp"), F.col("fn")))
+    sums = rows.groupBy(*by, "category").agg(*(F.sum(k).alias(k) for k in ("tp", "fp", "fn")))
+    return sums.select(*by, "category", "tp", "fp", "fn", *prf(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
 def unmatched(side: DataFrame, matched: DataFrame, page: list[str], id_: str) -> DataFrame:

@@ -13,6 +13,7 @@ from docweave.sources.tables import checkpointed, read_table
 
 PAGE = ["document_id", "version_id", "page_index", "run_id"]
 DOCUMENT = ["document_id", "version_id", "run_id"]
+RUN_PAGE, RUN = [*PAGE, "parser"], [*DOCUMENT, "parser"]
 
 
 def _regions(spark: SparkSession, d: str) -> DataFrame:
@@ -23,23 +24,28 @@ def _regions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """References repeated for each run of their version, and the run's blocks on the audited pages."""
-    blocks = physical.list_blocks(read_table(spark, d, "mineru_items"))
+    """References repeated for each run of their version, and the run's blocks on the audited pages; runs of both parsers."""
+    blocks = physical.all_blocks(read_table(spark, d, "mineru_items"), read_table(spark, d, "marker_trees"))
     regions = _regions(spark, d)
     pages = regions.select("document_id", "version_id", "page_index").distinct()
-    predictions = blocks.join(pages, ["document_id", "version_id", "page_index"], "left_semi").select(*PAGE, F.col("block_id").alias("id"), F.col("reading_order").alias("order"), "kind", *spatial.BOX)
-    runs = blocks.select(*DOCUMENT).distinct()
+    predictions = blocks.join(pages, ["document_id", "version_id", "page_index"], "left_semi").select(*RUN_PAGE, F.col("block_id").alias("id"), F.col("reading_order").alias("order"), "kind", *spatial.BOX)
+    runs = blocks.select(*RUN).distinct()
     return regions.join(runs, ["document_id", "version_id"]), predictions
 
 
 def iou_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of regions and blocks that overlap by half."""
-    return spatial.candidate_edges(*_sides(spark, d), PAGE)
+    """Pairs of regions and blocks that overlap by half, for the flat lists only, as its SQL has them; iou_edges_all has both parsers."""
+    return iou_edges_all(spark, d).where("parser = 'mineru'").drop("parser")
+
+
+def iou_edges_all(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of regions and blocks that overlap by half, for the runs of both parsers."""
+    return spatial.candidate_edges(*_sides(spark, d), RUN_PAGE)
 
 
 def _matched(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     references, predictions = (checkpointed(x) for x in _sides(spark, d))  # read by the matching and by what follows it
-    return references, predictions, spatial.matches(spatial.candidate_edges(references, predictions, PAGE), PAGE)
+    return references, predictions, spatial.matches(spatial.candidate_edges(references, predictions, RUN_PAGE), RUN_PAGE)
 
 
 def spatial_matches(spark: SparkSession, d: str) -> DataFrame:
@@ -49,33 +55,33 @@ def spatial_matches(spark: SparkSession, d: str) -> DataFrame:
 
 def spatial_overall(spark: SparkSession, d: str) -> DataFrame:
     """Precision, recall, F1 and mean IoU of each run."""
-    return spatial.overall(*_matched(spark, d), DOCUMENT)
+    return spatial.overall(*_matched(spark, d), RUN)
 
 
 def spatial_order(spark: SparkSession, d: str) -> DataFrame:
     """Reading-order accuracy of each run over all audited pages."""
     references, predictions, matched = _matched(spark, d)
-    pairs = matched.join(references.select(*PAGE, F.col("id").alias("ref_id"), F.col("order").alias("r")), [*PAGE, "ref_id"]).join(predictions.select(*PAGE, F.col("id").alias("pred_id"), F.col("order").alias("pred_order")), [*PAGE, "pred_id"])
-    rank = F.row_number().over(Window.partitionBy(*DOCUMENT).orderBy("r", "page_index", "ref_id"))
-    return spatial.order_accuracy(pairs.withColumn("ref_rank", rank), DOCUMENT)
+    pairs = matched.join(references.select(*RUN_PAGE, F.col("id").alias("ref_id"), F.col("order").alias("r")), [*RUN_PAGE, "ref_id"]).join(predictions.select(*RUN_PAGE, F.col("id").alias("pred_id"), F.col("order").alias("pred_order")), [*RUN_PAGE, "pred_id"])
+    rank = F.row_number().over(Window.partitionBy(*RUN).orderBy("r", "page_index", "ref_id"))
+    return spatial.order_accuracy(pairs.withColumn("ref_rank", rank), RUN)
 
 
 def _categories(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     references, predictions, matched = _matched(spark, d)
-    r = references.select(*PAGE, F.col("id").alias("ref_id"), F.col("kind").alias("ref_category"))
-    p = predictions.select(*PAGE, F.col("id").alias("pred_id"), c.category(F.col("kind")).alias("pred_category"))
-    pairs = matched.join(r, [*PAGE, "ref_id"]).join(p, [*PAGE, "pred_id"])
-    return pairs, spatial.unmatched(references, matched, PAGE, "ref_id").withColumn("category", F.col("kind")), spatial.unmatched(predictions, matched, PAGE, "pred_id").withColumn("category", c.category(F.col("kind")))
+    r = references.select(*RUN_PAGE, F.col("id").alias("ref_id"), F.col("kind").alias("ref_category"))
+    p = predictions.select(*RUN_PAGE, F.col("id").alias("pred_id"), c.category(F.col("kind")).alias("pred_category"))
+    pairs = matched.join(r, [*RUN_PAGE, "ref_id"]).join(p, [*RUN_PAGE, "pred_id"])
+    return pairs, spatial.unmatched(references, matched, RUN_PAGE, "ref_id").withColumn("category", F.col("kind")), spatial.unmatched(predictions, matched, RUN_PAGE, "pred_id").withColumn("category", c.category(F.col("kind")))
 
 
 def confusion_long(spark: SparkSession, d: str) -> DataFrame:
-    """Confusion matrix of categories in long form."""
-    return spatial.confusion(*_categories(spark, d))
+    """Confusion matrix of categories in long form, for each parser."""
+    return spatial.confusion(*_categories(spark, d), ["parser"])
 
 
 def category_prf(spark: SparkSession, d: str) -> DataFrame:
-    """Precision, recall and F1 by category."""
-    return spatial.per_category(*_categories(spark, d))
+    """Precision, recall and F1 by parser and category."""
+    return spatial.per_category(*_categories(spark, d), ["parser"])
 
 
 def region_checks(spark: SparkSession, d: str) -> DataFrame:
@@ -152,7 +158,7 @@ def unresolved_candidates(spark: SparkSession, d: str) -> DataFrame:
     return structural.unresolved(events, markers, ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (iou_edges, spatial_matches, spatial_overall, spatial_order, confusion_long, category_prf, region_checks, reference_checks, cycle_check, structural_prf, structural_edges, structural_traces, jaccard_cross, unresolved_candidates)}
+QUERIES = {f.__name__: f for f in (iou_edges, iou_edges_all, spatial_matches, spatial_overall, spatial_order, confusion_long, category_prf, region_checks, reference_checks, cycle_check, structural_prf, structural_edges, structural_traces, jaccard_cross, unresolved_candidates)}
 
 _SIDES = "with " + ITEMS + """,
 refs0 as (select * from ref_regions qualify row_number() over (partition by document_id, version_id, page_index, region_id order by created_at desc, region_row_id desc) = 1),
