@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 NODE_SCHEMA = (
     "tree_id bigint, pre bigint, post bigint, depth int, node_path string, parent_path string, page_position int, node_id string, block_type string, "
-    "section_id string, html string, x0 double, y0 double, x1 double, y1 double, polygon_points int, image_count int"
+    "section_id string, html string, x0 double, y0 double, x1 double, y1 double, polygon_points int, image_count int, polygon array<array<double>>, images map<string,string>, sections map<string,string>, other string"
 )
+CONTAINER_SCHEMA = "tree_id bigint, pre bigint, block_type string, container_pre bigint, container_type string, levels int"
 LINK_SCHEMA = "tree_id bigint, pre bigint, post bigint, depth int, node_path string, parent_path string, node_id string, section_id string"
 
 
@@ -63,11 +64,30 @@ def _section(node: dict[str, Any], level: str) -> str:
     return _text(sections.get(level)) if isinstance(sections, dict) else ""
 
 
+_OWN = {"children", "id", "block_type", "html", "bbox", "polygon", "images", "section_hierarchy"}
+
+
+def _numbers(value: Any, count: int | None = None) -> bool:
+    return isinstance(value, list) and (count is None or len(value) == count) and all(isinstance(x, (int, float)) and not isinstance(x, bool) for x in value)
+
+
+def _details(node: dict[str, Any]) -> tuple[Any, ...]:
+    """(polygon, images, sections, other): coordinates, image entries by id, section ids by level, and as JSON all that has no column."""
+    polygon, images, sections = node.get("polygon"), node.get("images"), node.get("section_hierarchy")
+    other = {k: v for k, v in node.items() if k not in _OWN}
+    good = isinstance(polygon, list) and all(_numbers(p) for p in polygon)
+    odd = {"polygon": not good, "images": not isinstance(images, dict), "section_hierarchy": not isinstance(sections, dict), "bbox": not _numbers(node.get("bbox"), 4)}
+    other |= {k: node[k] for k, bad in odd.items() if bad and node.get(k) is not None}
+    texts = lambda d: [(k, None if v is None else _text(v)) for k, v in d.items()] if isinstance(d, dict) else None
+    return [[float(x) for x in p] for p in polygon] if good else None, texts(images), texts(sections), json.dumps(other, ensure_ascii=False) if other else None
+
+
 def _flatten(full: bool, level: str):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
-            rows: list[list[Any]] = [[] for _ in range(17 if full else 8)]
+            rows: list[list[Any]] = [[] for _ in range(len(_FULL) if full else 8)]
+            size = 0
             for key, text in zip(keys.to_pylist(), texts, strict=True):
                 source = text.as_py()
                 try:
@@ -80,11 +100,11 @@ def _flatten(full: bool, level: str):  # noqa: ANN202
                     values: tuple[Any, ...]
                     if full:
                         box = node.get("bbox")
-                        box = box if isinstance(box, list) and len(box) == 4 and all(isinstance(x, (int, float)) and not isinstance(x, bool) for x in box) else [None] * 4
+                        box = box if _numbers(box, 4) else [None] * 4
                         polygon, images = node.get("polygon"), node.get("images")
                         values = (
                             key, pre, post, depth, path, parent, page, _text(node.get("id")), _text(node.get("block_type")), _section(node, level), _text(node.get("html")),
-                            *(None if x is None else float(x) for x in box), len(polygon) if isinstance(polygon, list) else 0, len(images) if isinstance(images, dict) else 0,
+                            *(None if x is None else float(x) for x in box), len(polygon) if isinstance(polygon, list) else 0, len(images) if isinstance(images, dict) else 0, *_details(node),
                         )
                     elif depth:
                         values = (key, pre, post, depth, path, parent, _text(node.get("id")), _section(node, level))
@@ -92,9 +112,10 @@ def _flatten(full: bool, level: str):  # noqa: ANN202
                         continue
                     for column, value in zip(rows, values, strict=True):
                         column.append(value)
-                if len(rows[0]) >= 20_000:
+                size += len(source)
+                if len(rows[0]) >= 20_000 or full and size >= 1 << 23:  # images can be long
                     yield _batch(rows, full)
-                    rows = [[] for _ in rows]
+                    rows, size = [[] for _ in rows], 0
             if rows[0]:
                 yield _batch(rows, full)
 
@@ -102,7 +123,8 @@ def _flatten(full: bool, level: str):  # noqa: ANN202
 
 
 _I, _L, _S, _D = pa.int32(), pa.int64(), pa.string(), pa.float64()
-_FULL = dict(zip([c.split()[0] for c in NODE_SCHEMA.split(", ")], (_L, _L, _L, _I, _S, _S, _I, _S, _S, _S, _S, _D, _D, _D, _D, _I, _I), strict=True))
+_M = pa.map_(_S, _S)
+_FULL = dict(zip([c.split()[0] for c in NODE_SCHEMA.split(", ")], (_L, _L, _L, _I, _S, _S, _I, _S, _S, _S, _S, _D, _D, _D, _D, _I, _I, pa.list_(pa.list_(_D)), _M, _M, _S), strict=True))
 _LINK = dict(zip([c.split()[0] for c in LINK_SCHEMA.split(", ")], (_L, _L, _L, _I, _S, _S, _S, _S), strict=True))
 
 
@@ -115,7 +137,8 @@ def nodes(trees: DataFrame, key: str, raw: str, section_level: str = "3") -> Dat
     """Every page and block of every readable tree with interval labels; see NODE_SCHEMA.
 
     Null, empty and cut-off text gives no rows.  A missing id or section is ''.  Children that are not objects are passed
-    over but keep their position.  Repeated ids do no harm, since paths and intervals identify nodes.
+    over but keep their position.  Repeated ids do no harm, since paths and intervals identify nodes.  Fields without a
+    column, and polygons, images, sections and boxes of another shape, are in ``other`` as JSON.
     """
     return trees.select(key, raw).mapInArrow(_flatten(True, section_level), NODE_SCHEMA)
 
@@ -130,6 +153,76 @@ def of_type(frame: DataFrame, *block_types: str) -> DataFrame:
     return frame.where(F.col("block_type").isin(list(block_types)))
 
 
+def polygon_points(frame: DataFrame) -> DataFrame:
+    """(tree_id, pre, point, x, y, point_values): the polygons of a node table point by point, in order."""
+    p = frame.select("tree_id", "pre", F.posexplode("polygon").alias("point", "point_values"))
+    return p.select("tree_id", "pre", "point", F.try_element_at("point_values", F.lit(1)).alias("x"), F.try_element_at("point_values", F.lit(2)).alias("y"), "point_values")
+
+
+def images(frame: DataFrame) -> DataFrame:
+    """(tree_id, pre, image_id, image): the image entries of a node table."""
+    return frame.select("tree_id", "pre", F.explode("images").alias("image_id", "image"))
+
+
+def sections(frame: DataFrame) -> DataFrame:
+    """(tree_id, pre, level, section_id): the section references of a node table, of every level."""
+    return frame.select("tree_id", "pre", F.explode("sections").alias("level", "section_id"))
+
+
+def tree_fields(trees: DataFrame, key: str, raw: str) -> DataFrame:
+    """(tree_id, block_type, other): each readable tree's own fields; ``other`` is JSON."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                try:
+                    root = json.loads(text.as_py() or "null")
+                except (ValueError, RecursionError):
+                    continue
+                if isinstance(root, dict):
+                    other = {n: v for n, v in root.items() if n not in ("children", "block_type")}
+                    rows.append((k, _text(root.get("block_type")), json.dumps(other, ensure_ascii=False) if other else None))
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((_L, _S, _S))], names=["tree_id", "block_type", "other"])
+
+    return trees.select(key, raw).mapInArrow(run, "tree_id bigint, block_type string, other string")
+
+
+def containers(trees: DataFrame, key: str, raw: str) -> DataFrame:
+    """Each block's nearest enclosing node of each type, its page included; see CONTAINER_SCHEMA.
+
+    Intervals in pre-order against a stack of those still open, one stack a type: no join, no shuffle, and at most one row
+    a node and type, however deep the tree is.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                try:
+                    root = json.loads(text.as_py() or "null")
+                except (ValueError, RecursionError):
+                    continue
+                if not isinstance(root, dict):
+                    continue
+                rows: list[tuple[Any, ...]] = []
+                open_: dict[str, list[tuple[int, int, int]]] = {}
+                for pre, post, depth, kind in sorted((pre, post, depth, _text(n.get("block_type"))) for n, pre, post, depth, *_ in walk(root)):
+                    for other in list(open_):
+                        stack = open_[other]
+                        while stack and stack[-1][1] < post:
+                            stack.pop()
+                        if stack:
+                            rows.append((k, pre, kind, stack[-1][0], other, depth - stack[-1][2]))
+                        else:
+                            del open_[other]
+                    open_.setdefault(kind, []).append((pre, post, depth))
+                for at in range(0, len(rows), 20_000):
+                    part = rows[at : at + 20_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in part], t) for j, t in enumerate((_L, _L, _S, _L, _S, _I))], names=[c.split()[0] for c in CONTAINER_SCHEMA.split(", ")])
+
+    return trees.select(key, raw).mapInArrow(run, CONTAINER_SCHEMA)
+
+
 def contained(ancestors: DataFrame, descendants: DataFrame) -> DataFrame:
     """(tree_id, ancestor_pre, descendant_pre, levels): pairs of two node tables linked by interval containment.
 

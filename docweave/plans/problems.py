@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docweave.operators import nested, schema_drift
 from docweave.sources.tables import read_table, spread
@@ -37,9 +40,51 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """All nodes with interval labels, boxes and counts."""
+    """All nodes with interval labels and every field; the tables below are keyed by its (tree_id, pre)."""
     return nested.nodes(_trees(spark, d), "tree_id", "raw_json")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_nodes, p4_versions, p5_found, p5_nodes)}
+def p5_trees(spark: SparkSession, d: str) -> DataFrame:
+    """The fields of each readable tree itself."""
+    return nested.tree_fields(_trees(spark, d), "tree_id", "raw_json")
+
+
+def p5_polygons(spark: SparkSession, d: str) -> DataFrame:
+    """Polygon points of all nodes."""
+    return nested.polygon_points(p5_nodes(spark, d))
+
+
+def p5_images(spark: SparkSession, d: str) -> DataFrame:
+    """Image entries of all nodes."""
+    return nested.images(p5_nodes(spark, d))
+
+
+def p5_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Section references of all nodes and levels."""
+    return nested.sections(p5_nodes(spark, d))
+
+
+def p5_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Links between the tables by type: each block's nearest enclosing node of each type, by interval containment."""
+    return nested.containers(_trees(spark, d), "tree_id", "raw_json")
+
+
+# Block types with a table of their own; p5_other_blocks has the rest.
+BLOCK_TABLES = {
+    "p5_pages": "Page", "p5_texts": "Text", "p5_section_headers": "SectionHeader", "p5_list_groups": "ListGroup", "p5_list_items": "ListItem", "p5_table_groups": "TableGroup", "p5_tables": "Table",
+    "p5_figure_groups": "FigureGroup", "p5_pictures": "Picture", "p5_captions": "Caption", "p5_page_headers": "PageHeader", "p5_page_footers": "PageFooter",
+}
+
+
+def _of_type(block_type: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: nested.of_type(p5_nodes(spark, d), block_type)
+
+
+def p5_other_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes whose type has no table of its own."""
+    return p5_nodes(spark, d).where(~F.col("block_type").isin(list(BLOCK_TABLES.values())))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_nodes, p4_versions, p5_found, p5_nodes, p5_trees, p5_polygons, p5_images, p5_sections, p5_containers, p5_other_blocks)}
+QUERIES |= {name: _of_type(block_type) for name, block_type in BLOCK_TABLES.items()}
 ORACLE_SQL: dict[str, str] = {}

@@ -90,6 +90,31 @@ def test_intervals_link_like_paths(spark):
     assert nested.of_type(n, "ListItem").count() == 2
 
 
+def test_related_tables_keep_every_field(spark):
+    block = {"id": "a", "block_type": "Text", "polygon": [[0, 1], [2.5, 3]], "images": {"i": "png"}, "section_hierarchy": {"1": "s1", "3": "s3"}, "extraction_method": "surya", "bbox": [1]}
+    odd = {"id": "b", "block_type": "Table", "polygon": ["x"], "images": ["y"], "section_hierarchy": "z"}
+    text = json.dumps({"block_type": "Document", "metadata": {"m": 1}, "children": [{"block_type": "Page", "children": [block, odd]}]})
+    df = spark.createDataFrame([(1, text), (2, "{"), (3, None)], "tree_id bigint, raw string")
+    n = nested.nodes(df, "tree_id", "raw").cache()
+    assert [tuple(r) for r in nested.polygon_points(n).orderBy("point").collect()] == [(1, 1, 0, 0.0, 1.0, [0.0, 1.0]), (1, 1, 1, 2.5, 3.0, [2.5, 3.0])]
+    assert [tuple(r) for r in nested.images(n).collect()] == [(1, 1, "i", "png")]
+    assert sorted(tuple(r) for r in nested.sections(n).collect()) == [(1, 1, "1", "s1"), (1, 1, "3", "s3")]
+    other = {r["pre"]: json.loads(r["other"] or "{}") for r in n.collect()}
+    assert other == {0: {}, 1: {"extraction_method": "surya", "bbox": [1]}, 2: {"polygon": ["x"], "images": ["y"], "section_hierarchy": "z"}}
+    assert [(r["tree_id"], r["block_type"], json.loads(r["other"])) for r in nested.tree_fields(df, "tree_id", "raw").collect()] == [(1, "Document", {"metadata": {"m": 1}})]
+
+
+def test_containers_are_the_nearest(spark):
+    df = spark.createDataFrame([(1, json.dumps(TREE)), (2, "[")], "tree_id bigint, raw string")
+    n = nested.nodes(df, "tree_id", "raw").cache()
+    kind = {r["pre"]: r["block_type"] for r in n.collect()}
+    nearest = {}
+    for r in nested.contained(n, n).collect():
+        at = (r["descendant_pre"], kind[r["ancestor_pre"]])
+        nearest[at] = min(nearest.get(at, (99, 0)), (r["levels"], r["ancestor_pre"]))
+    assert {((r["pre"], r["container_type"]), (r["levels"], r["container_pre"])) for r in nested.containers(df, "tree_id", "raw").collect()} == set(nearest.items())
+
+
 def test_very_deep_tree(spark):
     tree = {"id": "leaf", "block_type": "Text"}
     for _ in range(300):
