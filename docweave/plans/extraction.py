@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.operators import audit, checks, html_text, outline, physical
+from docweave.operators import audit, checks, html_text, nested, outline, physical
 from docweave.sources.tables import read_table, spread
 
 
@@ -50,6 +52,43 @@ def run_throughput(spark: SparkSession, d: str) -> DataFrame:
     return audit.throughput(read_table(spark, d, "parser_runs"), physical.page_counts(list_blocks_of(spark, d)))
 
 
+def _each(spark: SparkSession, d: str, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The operator on the blocks of each raw format, with the parser's name.  Queries without _all keep to the flat lists, as their SQL does."""
+    trees = tree_blocks_of(spark, d).drop("problem")
+    return operator(list_blocks_of(spark, d)).withColumn("parser", F.lit("mineru")).unionByName(operator(trees).withColumn("parser", F.lit("marker")))
+
+
+def kind_disposition_matrix_all(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of both parsers by raw type, kind and disposition."""
+    return _each(spark, d, lambda b: audit.histogram(b, "raw_type", "kind", "disposition"))
+
+
+def kind_transitions_all(spark: SparkSession, d: str) -> DataFrame:
+    """How kinds changed between the generations, for both parsers."""
+    return _each(spark, d, audit.transitions)
+
+
+def block_summary_all(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of each run's blocks, for both parsers."""
+    return _each(spark, d, audit.block_summary)
+
+
+def run_throughput_all(spark: SparkSession, d: str) -> DataFrame:
+    """Pages per second of each run of both parsers."""
+    return _each(spark, d, lambda b: audit.throughput(read_table(spark, d, "parser_runs"), physical.page_counts(b)))
+
+
+def block_checks_all(spark: SparkSession, d: str) -> DataFrame:
+    """Rules that single blocks of both parsers break; tree_contract stands for broken references of a tree's block."""
+    broken = tree_blocks_of(spark, d).where("problem is not null").select("run_id", "block_id", F.lit("tree_contract").alias("rule_id"), F.lit("marker").alias("parser"))
+    return _each(spark, d, checks.block_violations).unionByName(broken)
+
+
+def page_checks_all(spark: SparkSession, d: str) -> DataFrame:
+    """Pages whose reading order is not contiguous, and runs whose pages are not, for both parsers."""
+    return _each(spark, d, lambda b: checks.page_violations(b).unionByName(checks.document_violations(b).withColumn("page_index", F.lit(None).cast("int"))))
+
+
 def block_checks(spark: SparkSession, d: str) -> DataFrame:
     """Rules that single blocks break."""
     return checks.block_violations(list_blocks_of(spark, d))
@@ -62,8 +101,10 @@ def page_checks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def canonical_identity(spark: SparkSession, d: str) -> DataFrame:
-    """Identity hash of each run's canonical physical document."""
-    return physical.canonical_documents(list_blocks_of(spark, d).withColumn("parser", F.lit("mineru"))).select("run_id", "sha256", F.length("document_json").alias("n_chars"))
+    """Identity hash of each run's canonical physical document, for both parsers."""
+    blocks = physical.all_blocks(read_table(spark, d, "mineru_items"), read_table(spark, d, "marker_trees"))
+    parser = blocks.select("run_id", "parser").distinct()
+    return physical.canonical_documents(blocks).select("run_id", "sha256", F.length("document_json").alias("n_chars")).join(parser, "run_id")
 
 
 def _tables(spark: SparkSession, d: str) -> DataFrame:
@@ -80,6 +121,24 @@ def table_shapes(spark: SparkSession, d: str) -> DataFrame:
     return _tables(spark, d).where("grid_ok").groupBy("item_id", F.col("row_count").cast("bigint").alias("row_count"), F.col("column_count").cast("bigint").alias("column_count")).agg(F.count("row_start").alias("cells"))
 
 
+def table_grid_cells_all(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of every table of both parsers on its logical grid; table_id is the item's id, or the run's and the node's path.
+
+    Tables of trees count at any depth, since most stand in table groups; a tree delivered again counts once.
+    """
+    once = physical.latest(read_table(spark, d, "marker_trees").select("run_id", "ingested_at", "tree_id", "raw_json"), ["run_id"], "ingested_at", "tree_id")
+    tables = nested.of_type(nested.nodes(once, "run_id", "raw_json"), "Table")
+    trees = tables.select(F.concat_ws("/", F.lit("marker"), F.col("tree_id").cast("string"), "node_path").alias("table_id"), "html")
+    items = read_table(spark, d, "mineru_items").select(F.concat_ws("/", F.lit("mineru"), "item_id").alias("table_id"), F.col("table_body").alias("html"))
+    return html_text.table_cells(spread(items.unionByName(trees)), "table_id", "html").withColumn("parser", F.substring_index("table_id", "/", 1))
+
+
+def table_shapes_all(spark: SparkSession, d: str) -> DataFrame:
+    """Rows, columns and cells of each accepted table of both parsers."""
+    cells = table_grid_cells_all(spark, d).where("grid_ok")
+    return cells.groupBy("parser", "table_id", F.col("row_count").cast("bigint").alias("row_count"), F.col("column_count").cast("bigint").alias("column_count")).agg(F.count("row_start").alias("cells"))
+
+
 def grid_overlap_violations(spark: SparkSession, d: str) -> DataFrame:
     """Grid places that two cells cover; none by construction."""
     return html_text.grid_overlaps(_tables(spark, d), "item_id")
@@ -151,6 +210,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         list_blocks, tree_blocks, kind_disposition_matrix, kind_transitions, block_summary, run_throughput, block_checks, page_checks, canonical_identity, table_grid_cells, table_shapes, grid_overlap_violations,
+        kind_disposition_matrix_all, kind_transitions_all, block_summary_all, run_throughput_all, block_checks_all, page_checks_all, table_grid_cells_all, table_shapes_all,
         visible_text_stats, outline_nodes, outline_run_nodes, outline_kinds, outline_diagnostics, outline_partition, hierarchy_edges, evidence_backing,
     )
 }
