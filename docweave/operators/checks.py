@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -135,13 +137,29 @@ def anchor_partition(blocks: DataFrame, anchors: DataFrame, key: str) -> DataFra
     return violations(both, [key, "block_id"], rules)
 
 
+def _nfkc(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
 def evidence_violations(blocks: DataFrame, nodes: DataFrame, anchors: DataFrame, key: str) -> DataFrame:
-    """(rule_id, key, node_id): nodes whose marker is not one anchor, or whose marker text is not what stands there; titles without anchor."""
+    """(rule_id, key, node_id): nodes whose marker is not one anchor, or whose marker text or title is not what stands there; titles without anchor.
+
+    A title is compared with the slices of its anchors in their order, joined, in NFKC and with blanks collapsed.
+    """
     heads = anchors.where("role in ('marker', 'title')").join(blocks.select(key, "block_id", "text"), [key, "block_id"])
-    slice_ = c.strip(F.expr("substring(text, char_start + 1, char_end - char_start)"))
-    per = heads.groupBy(key, "node_id").agg(F.count_if(F.col("role") == "marker").alias("markers"), F.count_if(F.col("role") == "title").alias("titles"), F.max(F.when(F.col("role") == "marker", slice_)).alias("seen"))
+    raw = F.expr("substring(text, char_start + 1, char_end - char_start)")
+    part = F.when(F.col("role") == "title", F.struct("sequence", "char_start", raw.alias("slice")))
+    per = heads.groupBy(key, "node_id").agg(
+        F.count_if(F.col("role") == "marker").alias("markers"), F.count_if(F.col("role") == "title").alias("titles"), F.max(F.when(F.col("role") == "marker", c.strip(raw))).alias("seen"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["slice"]), "").alias("_slices"),
+    )
+    per = per.withColumn("seen_title", c.strip(F.regexp_replace(F.pandas_udf(_nfkc, "string")("_slices"), "[\\t\\f\\x0B \u00a0]+", " "))).drop("_slices")
     both = nodes.where("kind <> 'document'").join(per, [key, "node_id"], "left")
-    rules = {"marker_not_once": F.coalesce("markers", F.lit(0)) != 1, "marker_text_differs": c.strip(F.col("marker_text")) != F.col("seen"), "title_without_anchor": F.col("title").isNotNull() & (F.coalesce("titles", F.lit(0)) == 0), "anchor_without_title": F.col("title").isNull() & (F.coalesce("titles", F.lit(0)) > 0)}
+    titles = F.coalesce("titles", F.lit(0))
+    rules = {
+        "marker_not_once": F.coalesce("markers", F.lit(0)) != 1, "marker_text_differs": c.strip(F.col("marker_text")) != F.col("seen"), "title_without_anchor": F.col("title").isNotNull() & (titles == 0),
+        "anchor_without_title": F.col("title").isNull() & (titles > 0), "title_text_differs": F.col("title").isNotNull() & (titles > 0) & ~F.col("title").eqNullSafe(F.col("seen_title")),
+    }
     return violations(both, [key, "node_id"], rules)
 
 
@@ -154,7 +172,8 @@ def region_violations(regions: DataFrame) -> DataFrame:
 
 
 def reference_node_violations(nodes: DataFrame) -> DataFrame:
-    """Structural annotation: instances defined differently, and parents that are missing, on later pages or of other paths."""
+    """Structural annotation: instances defined differently or scored twice, record ids given twice, and parents that are
+    missing, on later pages, of other paths or of a kind not allowed."""
     doc = ["document_id", "version_id", "annotation_version"]
     same = F.struct("kind", "ordinal_key", "canonical_path", "parent_canonical_path", "parent_reference_instance_id")
     defined = nodes.where("reference_instance_id is not null").groupBy(*doc, "reference_instance_id").agg(F.count_distinct(same).alias("n")).where("n > 1").select(*doc, "reference_instance_id", F.lit("instance_defined_differently").alias("rule_id"))
@@ -162,7 +181,20 @@ def reference_node_violations(nodes: DataFrame) -> DataFrame:
     child = nodes.where("parent_reference_instance_id is not null").select(*doc, "reference_instance_id", "parent_reference_instance_id", "page_index", "parent_canonical_path").distinct()
     both = child.join(parent, [*doc, "parent_reference_instance_id"], "left")
     edge = violations(both, [*doc, "reference_instance_id"], {"parent_missing": F.col("p_page").isNull(), "parent_on_later_page": F.col("p_page") > F.col("page_index"), "parent_path": ~F.array_contains("p_paths", F.col("parent_canonical_path"))})
-    return defined.unionByName(edge.select(*defined.columns))
+    # a node delivered again is the same in all but row id and time
+    content = F.struct(*(x for x in nodes.columns if x not in ("node_row_id", "created_at", "ingested_at")))
+    record = nodes.where("reference_record_id is not null").groupBy(*doc, "reference_record_id").agg(F.count_distinct(content).alias("n"), F.min("reference_instance_id").alias("reference_instance_id")).where("n > 1")
+    scored = nodes.where("reference_instance_id is not null").where(F.coalesce("scored", F.lit(True))).groupBy(*doc, "reference_instance_id").agg(F.count_distinct(content).alias("n")).where("n > 1")
+    rule = lambda df, name: df.select(*doc, "reference_instance_id", F.lit(name).alias("rule_id"))
+    # an instance without a parent stands under the document; older versions have paths only, which say so too
+    kinds = nodes.where("reference_instance_id is not null").select(*doc, F.col("reference_instance_id").alias("parent_reference_instance_id"), F.col("kind").alias("p_kind")).distinct()
+    below = nodes.where("reference_instance_id is not null").select(*doc, "reference_instance_id", "parent_reference_instance_id", "kind", "parent_canonical_path").distinct().join(kinds, [*doc, "parent_reference_instance_id"], "left")
+    top = F.col("parent_reference_instance_id").isNull() & F.coalesce("parent_canonical_path", F.lit("document")).isin("", "document")
+    parent_kind = F.when(top, "document").otherwise(F.col("p_kind"))
+    allowed = reduce(lambda a, kv: a.when((F.col("kind") == kv[0]) & parent_kind.isin(kv[1]), True), ALLOWED_PARENTS.items(), F.when(F.lit(False), True)).otherwise(False)
+    wrong = below.where(parent_kind.isNotNull() & ~allowed).select(*doc, "reference_instance_id").distinct()
+    more = rule(record, "record_id_repeated").unionByName(rule(scored, "scored_instance_repeated")).unionByName(rule(wrong, "parent_kind"))
+    return defined.unionByName(edge.select(*defined.columns)).unionByName(more)
 
 
 def cycles(edges: DataFrame, scope: list[str], child: str, parent: str) -> DataFrame:

@@ -109,6 +109,15 @@ def node_metrics(references: DataFrame, predictions: DataFrame, matched: DataFra
     return s.select(*by, "tp", fp.alias("fp"), fn.alias("fn"), *metric(tp, fp, fn))
 
 
+def edge_metrics(references: DataFrame, predictions: DataFrame, compared: DataFrame, by: list[str]) -> DataFrame:
+    """(by, tp, fp, fn, precision, recall, f1) of parent edges.
+
+    ``compared``: by and parent_exact of each matched pair.  A wrong parent is one too many and one missing, as are the
+    edges of invented and of missed nodes; so fp and fn are what the right ones leave of either side.
+    """
+    return node_metrics(references, predictions, compared.where("parent_exact"), by)
+
+
 def jaccard(left: DataFrame, right: DataFrame, by: list[str], item: list[str]) -> DataFrame:
     """(by, shared, only_left, only_right, jaccard) of two sets; null where both are empty."""
     a, b = left.select(*by, *item).distinct().withColumn("_a", F.lit(1)), right.select(*by, *item).distinct().withColumn("_b", F.lit(1))

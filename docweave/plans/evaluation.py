@@ -134,6 +134,13 @@ def structural_edges(spark: SparkSession, d: str) -> DataFrame:
     return pairs.groupBy("kind").agg(F.count("*").alias("matched"), F.count_if("path_exact").alias("path_exact"), F.count_if("parent_exact").alias("parent_exact"), F.count("title_exact").alias("titles"), F.count_if("title_exact").alias("title_exact"))
 
 
+def structural_edge_prf(spark: SparkSession, d: str) -> DataFrame:
+    """Parent-edge metrics by parser and kind, edges of missed and invented nodes included."""
+    r, p = _scored_sides(spark, d)
+    parser = r.select("run_id", "parser").union(p.select("run_id", "parser")).distinct()
+    return structural.edge_metrics(r, p, structural.compare(r, p, structural.match(r, p, DOCUMENT), DOCUMENT).join(parser, "run_id"), ["parser", "kind"])
+
+
 def structural_traces(spark: SparkSession, d: str) -> DataFrame:
     """Missed and invented nodes on audited pages."""
     r, p = _scored_sides(spark, d)
@@ -158,7 +165,7 @@ def unresolved_candidates(spark: SparkSession, d: str) -> DataFrame:
     return structural.unresolved(events, markers, ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (iou_edges, iou_edges_all, spatial_matches, spatial_overall, spatial_order, confusion_long, category_prf, region_checks, reference_checks, cycle_check, structural_prf, structural_edges, structural_traces, jaccard_cross, unresolved_candidates)}
+QUERIES = {f.__name__: f for f in (iou_edges, iou_edges_all, spatial_matches, spatial_overall, spatial_order, confusion_long, category_prf, region_checks, reference_checks, cycle_check, structural_prf, structural_edges, structural_edge_prf, structural_traces, jaccard_cross, unresolved_candidates)}
 
 _SIDES = "with " + ITEMS + """,
 refs0 as (select * from ref_regions qualify row_number() over (partition by document_id, version_id, page_index, region_id order by created_at desc, region_row_id desc) = 1),

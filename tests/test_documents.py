@@ -142,6 +142,29 @@ def test_structural(spark):
     assert abs(j["all"] - 3 / 7) < 1e-9
 
 
+def test_edges_count_unmatched_nodes(spark):
+    r = spark.createDataFrame([(1, 0, "article", "1", "r1", "a", "document", None), (1, 0, "article", "2", "r2", "b", "document", None), (1, 0, "article", "3", "r3", "c", "document", None)], NODES)
+    p = spark.createDataFrame([(1, 0, "article", "1", "p1", "a", "document", None), (1, 0, "article", "2", "p2", "x/b", "x", None), (1, 0, "article", "4", "p4", "d", "document", None), (1, 0, "article", "5", "p5", "e", "document", None)], NODES)
+    one = structural.edge_metrics(r, p, structural.compare(r, p, structural.match(r, p, ["d"]), ["d"]), ["d"]).collect()[0]
+    assert (one["tp"], one["fp"], one["fn"]) == (1, 3, 2)
+
+
+def test_reference_rules(spark):
+    schema = "node_row_id bigint, document_id string, version_id string, annotation_version string, page_index int, reference_record_id string, reference_instance_id string, parent_reference_instance_id string, kind string, ordinal_key string, canonical_path string, parent_canonical_path string, scored boolean"
+    row = lambda k, record, instance, parent, kind, path, above, scored=True, page=0: (k, "d", "v1", "4", page, record, instance, parent, kind, "1", path, above, scored)
+    good = [row(1, "n1", "i1", None, "article", "a", "document"), row(2, "n2", "i2", "i1", "clause", "a/c", "a"), row(3, "n2", "i2", "i1", "clause", "a/c", "a"), row(4, "n3", "i2", "i1", "clause", "a/c", "a", False)]
+    assert checks.reference_node_violations(spark.createDataFrame(good, schema)).count() == 0
+    bad = [*good, row(5, "n1", "i5", None, "article", "e", "document"), row(6, "n6", "i2", "i1", "clause", "a/c", "a"), row(7, "n7", "i7", "i1", "point", "a/p", "a"), row(8, "n8", "i8", None, "clause", "c", "document")]
+    assert {(r["reference_instance_id"], r["rule_id"]) for r in checks.reference_node_violations(spark.createDataFrame(bad, schema)).collect()} == {("i1", "record_id_repeated"), ("i2", "scored_instance_repeated"), ("i7", "parent_kind"), ("i8", "parent_kind")}
+
+
+def test_titles_are_what_their_anchors_hold(spark):
+    blocks = spark.createDataFrame([(1, "b", "Điều 1. Phạm  vi\u00a0ﬁnal")], "k int, block_id string, text string")
+    anchors = spark.createDataFrame([(1, 0, "n", "marker", "b", 0, 7), (1, 1, "n", "title", "b", 7, 21)], "k int, sequence int, node_id string, role string, block_id string, char_start int, char_end int")
+    of = lambda title: [r["rule_id"] for r in checks.evidence_violations(blocks, spark.createDataFrame([(1, "n", "article", "Điều 1.", title)], "k int, node_id string, kind string, marker_text string, title string"), anchors, "k").collect()]
+    assert of("Phạm vi final") == [] and of("Phạm") == ["title_text_differs"]
+
+
 def test_cycles(spark):
     e = spark.createDataFrame([(1, "a", "b"), (1, "b", "c"), (1, "c", "a"), (1, "d", "a"), (2, "a", "b"), (2, "b", None), (3, "s", "s")], "g int, c string, p string")
     assert {(r["g"], r["c"]) for r in checks.cycles(e, ["g"], "c", "p").collect()} == {(1, "a"), (1, "b"), (1, "c"), (3, "s")}
