@@ -80,12 +80,17 @@ def _version_fields(version: int) -> set[str]:
     return known
 
 
+def _camel(name: str) -> str:
+    return "".join(w if k == 0 else w.capitalize() for k, w in enumerate(name.split("_")))
+
+
 def _canonical(name: Column) -> Column:
     """The schema 4 name that a file's field name stands for, or null: exact, then camel case, then former names."""
     snake = F.lower(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1_$2"))
     renames = {k: v for step in MIGRATIONS for k, v in step.renames.items()} | {k: k for k in SCHEMA_4}
     table = F.create_map(*(F.lit(x) for pair in sorted(renames.items()) for x in pair))
-    return F.when(name.isin(list(SCHEMA_4)), name).otherwise(F.try_element_at(table, snake))
+    camels = F.create_map(*(F.lit(x) for c in SCHEMA_4 for x in (_camel(c), c) if _camel(c) != c))  # a digit takes no underscore back
+    return F.when(name.isin(list(SCHEMA_4)), name).otherwise(F.coalesce(F.try_element_at(camels, name), F.try_element_at(table, snake)))
 
 
 def _json_type(value: Column) -> Column:
@@ -173,17 +178,19 @@ def consistent_nodes(files: DataFrame, key: str, raw: str) -> DataFrame:
     """One row per node of every readable file in the types of schema 4, with its place in the file.
 
     Columns: key, node_position (0-based), fingerprint, then the schema's fields.  Values that cannot be cast are null.
+    Names are taken as in the report of changes, a field's own name first.  ``other_fields`` has, as JSON by the file's
+    name, every value that is none of the schema's, and a former name's beside the field's own.
     """
-    parsed = parse_files(files, key, raw).select("file_key", "fingerprint", F.posexplode("nodes").alias("node_position", "node"))
-    columns = []
-    for name, kind in SCHEMA_4.items():
-        olds = (*FORMER_NAMES[name],)
-        camel = "".join(w if k == 0 else w.capitalize() for k, w in enumerate(name.split("_")))
-        camels = ["".join(w if k == 0 else w.capitalize() for k, w in enumerate(o.split("_"))) for o in olds]
-        names = dict.fromkeys((name, camel, *olds, *camels))
-        value = F.coalesce(*(F.try_element_at("node", F.lit(n)) for n in names))
-        columns.append(F.when(value.isNotNull() & (F.schema_of_variant(value) != "VOID"), _cast(value, kind)).alias(name))
-    return parsed.select(F.col("file_key").alias(key), "node_position", "fingerprint", *columns)
+    parsed = parse_files(files, key, raw)
+    alias = lambda c: F.concat(F.array(F.lit(c)), F.array_distinct(F.transform(F.filter("fields", lambda f: (f["canonical"] == c) & (f["name"] != c)), lambda f: f["name"])))
+    named = parsed.select("file_key", "fingerprint", "nodes", *(alias(c).alias(f"_names_{c}") for c in SCHEMA_4))
+    nodes = named.select("file_key", "fingerprint", *(f"_names_{c}" for c in SCHEMA_4), F.posexplode("nodes").alias("node_position", "node"))
+    given = lambda n: F.try_element_at("node", n).isNotNull() & (F.schema_of_variant(F.try_element_at("node", n)) != "VOID")
+    chosen = nodes.select("file_key", "fingerprint", "node_position", "node", *(F.try_element_at(F.filter(f"_names_{c}", given), F.lit(1)).alias(f"_name_{c}") for c in SCHEMA_4))
+    values = [F.when(F.col(f"_name_{c}").isNotNull(), _cast(F.try_element_at("node", F.col(f"_name_{c}")), kind)).alias(c) for c, kind in SCHEMA_4.items()]
+    used = F.array_compact(F.array(*(f"_name_{c}" for c in SCHEMA_4)))
+    rest = F.transform_values(F.map_filter("node", lambda k, v: ~F.array_contains(used, k) & (F.schema_of_variant(v) != "VOID")), lambda _, v: F.to_json(v))
+    return chosen.select(F.col("file_key").alias(key), "node_position", "fingerprint", *values, rest.alias("other_fields"))
 
 
 def file_versions(files: DataFrame, key: str, raw: str) -> DataFrame:

@@ -51,6 +51,15 @@ def test_consistent_nodes_cast(spark):
     assert b["scored"] is False and b["page_index"] is None
 
 
+def test_consistent_nodes_keep_other_fields_and_names(spark):
+    text = file_of({**node(title="absent", page_index="absent", pdf_page_number_1_based="absent", path="p", alt_titles=["a"], text_lang="vi", nothing=None), "Title": "T", "PageIndex": 3, "pdfPageNumber1Based": 4})
+    df = spark.createDataFrame([(1, text)], "file_id bigint, raw string")
+    a = schema_drift.consistent_nodes(df, "file_id", "raw").collect()[0]
+    assert (a["title"], a["page_index"], a["pdf_page_number_1_based"], a["canonical_path"]) == ("T", 3, 4, "x")
+    assert a["other_fields"] == {"path": '"p"', "alt_titles": '["a"]', "text_lang": '"vi"'}
+    assert (0, "pdf_page_number_1_based", "renamed") in changes(spark, text)
+
+
 def test_versions(spark):
     v2 = {k: v for k, v in node().items() if k not in ("ordinal_system", "reference_instance_id", "reference_record_id", "parent_reference_instance_id")}
     df = spark.createDataFrame([(1, file_of(node())), (2, file_of(v2)), (3, file_of({**v2, "ordinal_system": "x"}))], "file_id bigint, raw string")
