@@ -22,22 +22,14 @@ SINGLE_BYTE = (
 MULTI_BYTE = "gb18030 big5hkscs cp932 cp949".split()
 
 # The TCVN3 (ABC) code page, byte to letter.
-TCVN3 = dict(
-    zip(
-        (*range(0xA1, 0xAF), *range(0xB5, 0xBA), *range(0xBB, 0xBF), *range(0xC6, 0xD0), *range(0xD0, 0xD9), *range(0xDC, 0xE0), *range(0xE1, 0xFF)),
-        "ĂÂÊÔƠƯĐăâêôơưđ" "àảãáạ" "ằẳẵắ" "ặầẩẫấậèỉẻẽ" "éẹềểễếệìỉ" "ĩíịò" "ỏõóọồổỗốộờởỡớợùỉủũúụừửữứựỳỷỹýỵ",
-        strict=False,
-    )
-)
-# Positions of TCVN3 that the runs above do not give rightly.
-TCVN3 |= {
+TCVN3 = {
+    0xA1: "Ă", 0xA2: "Â", 0xA3: "Ê", 0xA4: "Ô", 0xA5: "Ơ", 0xA6: "Ư", 0xA7: "Đ", 0xA8: "ă", 0xA9: "â", 0xAA: "ê", 0xAB: "ô", 0xAC: "ơ", 0xAD: "ư", 0xAE: "đ",
+    0xB5: "à", 0xB6: "ả", 0xB7: "ã", 0xB8: "á", 0xB9: "ạ", 0xBB: "ằ", 0xBC: "ẳ", 0xBD: "ẵ", 0xBE: "ắ",
     0xC6: "ặ", 0xC7: "ầ", 0xC8: "ẩ", 0xC9: "ẫ", 0xCA: "ấ", 0xCB: "ậ", 0xCC: "è", 0xCE: "ẻ", 0xCF: "ẽ", 0xD0: "é", 0xD1: "ẹ", 0xD2: "ề", 0xD3: "ể", 0xD4: "ễ",
     0xD5: "ế", 0xD6: "ệ", 0xD7: "ì", 0xD8: "ỉ", 0xDC: "ĩ", 0xDD: "í", 0xDE: "ị", 0xDF: "ò", 0xE1: "ỏ", 0xE2: "õ", 0xE3: "ó", 0xE4: "ọ", 0xE5: "ồ", 0xE6: "ổ",
     0xE7: "ỗ", 0xE8: "ố", 0xE9: "ộ", 0xEA: "ờ", 0xEB: "ở", 0xEC: "ỡ", 0xED: "ớ", 0xEE: "ợ", 0xEF: "ù", 0xF1: "ủ", 0xF2: "ũ", 0xF3: "ú", 0xF4: "ụ", 0xF5: "ừ",
     0xF6: "ử", 0xF7: "ữ", 0xF8: "ứ", 0xF9: "ự", 0xFA: "ỳ", 0xFB: "ỷ", 0xFC: "ỹ", 0xFD: "ý", 0xFE: "ỵ",
 }
-for _unused in (0xCD, 0xF0):
-    TCVN3.pop(_unused, None)
 TCVN3_CHARS = {chr(b): letter for b, letter in TCVN3.items()}
 
 #: Signs and letters that may stand beside Vietnamese text and so may come out of a decoded span.
@@ -224,6 +216,10 @@ def _read(text: str, encoding: str) -> tuple[int, int, str] | None:
     return worth, sum(believed), result
 
 
+def _bytes(text: str) -> int:
+    return len(text.encode("utf-8", "surrogatepass"))
+
+
 def _oddity(text: str) -> int:
     return sum(c not in LETTERS and ord(c) > 127 for c in text)
 
@@ -270,10 +266,8 @@ _LEFT_OVER = re.compile("�|[\x80-\x84\x86-\x9f]")
 
 
 def _candidates(text: str) -> list[str]:
-    """Encodings worth reading the text in: those under which about as many spans open as under any other."""
-    opens = [(sum(not (a in LETTERS and z in LETTERS) for a, z in pattern.findall(text)), e) for e, pattern in _OPENINGS.items()]
-    most = max(n for n, _ in opens)
-    some = [e for n, e in opens if n and (most < 8 or n >= 0.6 * most)]
+    """Encodings under which a span opens in the text, however few; none is left out for another's sake."""
+    some = [e for e, pattern in _OPENINGS.items() if any(not (a in LETTERS and z in LETTERS) for a, z in pattern.findall(text))]
     return [*some, *MULTI_BYTE] if any("\u2e80" <= c for c in text) else some
 
 
@@ -281,13 +275,14 @@ def _candidates(text: str) -> list[str]:
 def repair(text: str | None) -> Repair | None:
     """The repair of one value, or None if it holds nothing garbled.
 
-    Null and empty text is never garbled.  Text that has lost bytes (U+FFFD) is garbled beyond repair: what can be
+    Steps are taken until none makes the text shorter in UTF-8, so text garbled any number of times, or in several
+    encodings, comes back; the shrinking length bounds their number.  Null and empty text is never garbled.  Text that has lost bytes (U+FFFD) is garbled beyond repair: what can be
     restored is, the rest stays and ``lossy`` says so.
     """
     if not text or text.isascii():
         return None
     current, steps = text, []
-    for _ in range(3):
+    while True:
         if _CLEAN.fullmatch(current):
             break
         best: tuple[int, int, str] | None = None
@@ -298,7 +293,7 @@ def repair(text: str | None) -> Repair | None:
                 best, name = got, encoding
                 if _CLEAN.fullmatch(got[2]):
                     break
-        if best is None or best[2] == current:
+        if best is None or _bytes(best[2]) >= _bytes(current):
             break
         current = best[2]
         steps.append(name)
