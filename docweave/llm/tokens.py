@@ -10,8 +10,22 @@ from pyspark.sql import functions as F
 
 from docweave.llm.bpe import DEFAULT_VOCABULARY, encoder
 
-#: Texts encoded together; bounds a worker's memory, changes no result.
-ROWS_AT_ONCE = 512
+#: Texts encoded together, by number and by characters; bounds a worker's memory, changes no result.
+ROWS_AT_ONCE, CHARACTERS_AT_ONCE = 512, 1 << 22
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str | None]]]:
+    """(keys, texts) of a batch, a bounded amount at a time; a longer text is alone."""
+    texts = batch.column(1).to_pylist()
+    first = size = 0
+    for k, text in enumerate(texts):
+        more = len(text or "")
+        if k > first and (k - first >= ROWS_AT_ONCE or size + more > CHARACTERS_AT_ONCE):
+            yield batch.column(0).slice(first, k - first), texts[first:k]
+            first, size = k, 0
+        size += more
+    if texts:
+        yield batch.column(0).slice(first), texts[first:]
 
 
 def token_ids(df: DataFrame, key: str, text: str, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
@@ -24,10 +38,9 @@ def token_ids(df: DataFrame, key: str, text: str, vocabulary: str = DEFAULT_VOCA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode_all
         for batch in batches:
-            for k in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(k, ROWS_AT_ONCE)
-                ids, offsets = encode(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))], names=[key, "ids"])
+            for keys, texts in _parts(batch):
+                ids, offsets = encode(texts)
+                yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))], names=[key, "ids"])
 
     return df.select(key, F.col(text).cast("string")).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, ids array<int>")
 
@@ -38,8 +51,7 @@ def token_counts(df: DataFrame, key: str, text: str, vocabulary: str = DEFAULT_V
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = encoder(vocabulary).counts
         for batch in batches:
-            for k in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(k, ROWS_AT_ONCE)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count(part.column(1).to_pylist()), pa.int64())], names=[key, "tokens"])
+            for keys, texts in _parts(batch):
+                yield pa.RecordBatch.from_arrays([keys, pa.array(count(texts), pa.int64())], names=[key, "tokens"])
 
     return df.select(key, F.col(text).cast("string")).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, tokens bigint")

@@ -30,6 +30,17 @@ def test_ids_equal_the_library():
         assert ids[at[k] : at[k + 1]].tolist() == r.ids, texts[k]
 
 
+def test_both_engines_split_alike():
+    import regex
+
+    from docweave.llm import bpe
+
+    plane = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x10000))))
+    random.seed(8)
+    texts = [plane, " ".join(plane), *("".join(random.choices("aĐế1²½ \u00a0\t\n.'sll_\u0301日😀\x1c", k=40)) for _ in range(500))]
+    assert all(bpe._splitter()(t) == regex.findall(bpe.PATTERN, t) for t in texts)
+
+
 @needs_vocabulary
 def test_speculation_agrees_with_exact_merging():
     e = encoder()
