@@ -103,7 +103,12 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.containers(p7_pack(spark, d))
 
 
-QUERIES |= {f.__name__: f for f in (p6_ids, p6_counts, p7_pack, p7_containers)}
+def p7_waste(spark: SparkSession, d: str) -> DataFrame:
+    """What each packing leaves unused, by capacity."""
+    return packing.waste(p7_containers(spark, d))
+
+
+QUERIES |= {f.__name__: f for f in (p6_ids, p6_counts, p7_pack, p7_containers, p7_waste)}
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

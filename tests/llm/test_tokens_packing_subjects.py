@@ -87,14 +87,51 @@ def test_best_fit_equals_item_by_item():
         assert dict(load) == {a + i: used for a, n, _, used in plan.containers for i in range(n)}
 
 
-def test_joint_packing_is_no_worse_than_one_size():
+def placed(histogram, plan):
+    """The load of each container, after checking that runs take every item once and boxes tell the truth."""
+    load, ranks = Counter(), {}
+    for r in plan.runs:
+        ranks.setdefault(r.size, []).append((r.first, r.first + r.count))
+        for j in range(r.count):
+            load[r.container + j // r.each] += r.size
+    for size, n in histogram:
+        at = 0
+        for first, end in sorted(ranks.get(size, [])):
+            assert first == at
+            at = end
+        assert at == n
+    assert dict(load) == {b.start + i: b.used for b in plan.containers for i in range(b.count)} and all(b.used <= b.capacity for b in plan.containers)
+    return load
+
+
+def test_joint_packing_takes_less_room_than_any_one_size():
     random.seed(2)
-    histogram = list(Counter(random.randint(1, 90) for _ in range(2000)).items())
-    space = lambda sizes: sum(n * c for _, n, c, _ in packing.best_fit(histogram, sizes).containers)
-    assert space([20, 50, 100]) <= min(space([100]), space([50, 100]) * 1.02)
-
-
-def test_pack(spark):
+    room = lambda plan: sum(b.count * b.capacity for b in plan.containers)
+    opened = set()
+    for _ in range(60):
+        histogram = list(Counter(random.choice([random.randint(1, 90), random.randint(1, 512)]) for _ in range(random.randint(1, 400))).items())
+        plan = packing.best_fit(histogram, [32, 128, 512])
+        placed(histogram, plan)
+        opened |= {b.capacity for b in plan.containers}
+        assert room(plan) <= room(packing.best_fit(histogram, [512]))
+    assert opened == {32, 128, 512}
+    few = [(300, 3), (100, 5), (20, 10), (5, 4)]
+    plan = packing.best_fit(few, [32, 128, 512])
+    placed(few, plan)
+    assert room(plan) < room(packing.best_fit(few, [512])) and len({b.capacity for b in plan.containers}) > 1
+
+
+def test_containers_half_empty_are_packed_anew():
+    random.seed(4)
+    for _ in range(200):
+        capacities = sorted(random.sample(range(5, 60), 3))
+        histogram = list(Counter(random.randint(1, capacities[-1]) for _ in range(random.randint(0, 200))).items())
+        placed(histogram, packing.best_fit(histogram, capacities))
+    plan = packing.best_fit([(1, 600)], [100, 1000])
+    assert [(b.capacity, b.used) for b in plan.containers for _ in range(b.count)] == [(100, 100)] * 6
+
+
+def test_pack(spark, monkeypatch):
     random.seed(3)
     rows = [(k, random.randint(1, 60)) for k in range(500)] + [(500, 260), (501, 0), (502, None), (503, 100), (7, 10), (None, 5), (504, -3)]
     df = spark.createDataFrame(rows, "doc_id bigint, n bigint").withColumn("packing", F.lit("clash")).withColumn("rank", F.lit(1))
@@ -107,6 +144,14 @@ def test_pack(spark):
         assert [(r["token_from"], r["tokens"]) for r in mine.where("doc_id = 500").orderBy("piece").collect()] == [(0, 100), (100, 100), (200, 60)]
         assert mine.where("doc_id in (501, 502, 504)").count() == 3 and mine.where("doc_id = 7").count() == 2 and mine.where("doc_id is null").count() == 1
         assert mine.groupBy("container_id").agg(F.count_distinct("capacity_code").alias("c")).where("c > 1").count() == 0
+    rows_of = {r["packing"]: r for r in packing.waste(packing.containers(out)).groupBy("packing").agg(F.sum("used").alias("used"), F.sum("unused").alias("unused")).collect()}
+    assert rows_of["small"]["used"] == rows_of["joint"]["used"] and rows_of["joint"]["unused"] <= rows_of["small"]["unused"]
+    monkeypatch.setattr(packing, "BROADCAST_RUNS", 0)
+    monkeypatch.setattr(packing, "BLOCK", 3)
+    monkeypatch.setattr(packing, "RANKED_AT_ONCE", 2)
+    again = packing.pack(df, "doc_id", "n", {"small": {"small": 100}, "joint": {"small": 100, "tiny": 40}})
+    loads = lambda x: sorted((r["packing"], r["capacity_tokens"], r["used"]) for r in packing.containers(x).collect() if r["used"])
+    assert loads(again) == loads(out)
     assert packing.pack(df.limit(0), "doc_id", "n", {"small": {"small": 100}}).count() == 0
     assert packing.pack(df.where("doc_id = 501"), "doc_id", "n", {"small": {"small": 100}}).collect()[0]["container_id"] == 0
 
