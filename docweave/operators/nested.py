@@ -1,20 +1,22 @@
 """Deeply nested records as flat tables: interval labels by depth-first traversal.
 
 Each tree is one row, walked once in Python with an explicit stack (any depth).  A node gets its pre-order and
-post-order number; an ancestor's interval contains its descendants' intervals, which links the flat tables by type
-without any recursion in SQL.
+post-order number; an ancestor's interval contains its descendants' intervals.  Everything that links nodes comes from
+the intervals: parents, depths and paths by a stack of the intervals still open, the tables by type through
+``containers``.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
-from typing import Any
+from typing import Any, NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docweave.functions.deep_json import dumps, loads
+
 NODE_SCHEMA = (
     "tree_id bigint, pre bigint, post bigint, depth int, node_path string, parent_path string, page_position int, node_id string, block_type string, "
     "section_id string, html string, x0 double, y0 double, x1 double, y1 double, polygon_points int, image_count int, polygon array<array<double>>, images map<string,string>, sections map<string,string>, other string"
@@ -28,7 +30,7 @@ def children_of(node: dict[str, Any]) -> list[Any]:
     value = node.get("children")
     if isinstance(value, str):
         try:
-            value = json.loads(value)
+            value = loads(value)
         except ValueError:
             return []
     if isinstance(value, dict):
@@ -37,26 +39,58 @@ def children_of(node: dict[str, Any]) -> list[Any]:
 
 
 def _text(value: Any) -> str:
-    return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    return "" if value is None else value if isinstance(value, str) else dumps(value)
+
+
+class Label(NamedTuple):
+    """A node with its interval and its position among its siblings as delivered."""
 
+    node: dict[str, Any]
+    pre: int
+    post: int
+    position: int
 
-def walk(root: dict[str, Any]) -> Iterator[tuple[dict[str, Any], int, int, int, str, str, int]]:
-    """(node, pre, post, depth, path, parent path, page) of each object below the root, in post-order; pages have depth 0."""
-    pre = post = 0
-    stack: list[tuple[Any, int, str, str, int, int]] = [(p, 0, str(k), "", k, -1) for k, p in reversed(list(enumerate(children_of(root))))]
+
+def labels(root: dict[str, Any]) -> list[Label]:
+    """All objects below the root in pre-order, pages first of their blocks; children that are no objects have no label."""
+    out: list[Any] = []
+    post = 0
+    stack: list[tuple[Any, int, int]] = [(page, k, -1) for k, page in reversed(list(enumerate(children_of(root))))]
     while stack:
-        node, depth, path, parent, page, number = stack.pop()
+        node, position, pre = stack.pop()
         if not isinstance(node, dict):
             continue
-        if number >= 0:  # on the way up
-            yield node, number, post, depth, path, parent, page
+        if pre >= 0:  # on the way up
+            out[pre] = Label(node, pre, post, position)
             post += 1
             continue
-        stack.append((node, depth, path, parent, page, pre))
-        pre += 1
+        stack.append((node, position, len(out)))
+        out.append(None)
         kids = children_of(node)
-        for k in range(len(kids) - 1, -1, -1):
-            stack.append((kids[k], depth + 1, f"{path}/{k}", path, page, -1))
+        stack += [(kids[k], k, -1) for k in range(len(kids) - 1, -1, -1)]
+    return out
+
+
+class Linked(NamedTuple):
+    """A labelled node with what its intervals say: depth below its page, paths of itself and its parent, and its page."""
+
+    label: Label
+    depth: int
+    path: str
+    parent_path: str
+    page: int
+
+
+def linked(nodes: list[Label]) -> Iterator[Linked]:
+    """Nodes in pre-order linked by interval containment: the parent is the innermost interval still open that contains the node's."""
+    open_: list[tuple[int, str, int]] = []  # (post, path, page)
+    for label in nodes:
+        while open_ and open_[-1][0] < label.post:
+            open_.pop()
+        above = open_[-1] if open_ else (0, "", label.position)
+        path = f"{above[1]}/{label.position}" if open_ else str(label.position)
+        yield Linked(label, len(open_), path, above[1], above[2])
+        open_.append((label.post, path, above[2]))
 
 
 def _section(node: dict[str, Any], level: str) -> str:
@@ -79,7 +113,7 @@ def _details(node: dict[str, Any]) -> tuple[Any, ...]:
     odd = {"polygon": not good, "images": not isinstance(images, dict), "section_hierarchy": not isinstance(sections, dict), "bbox": not _numbers(node.get("bbox"), 4)}
     other |= {k: node[k] for k, bad in odd.items() if bad and node.get(k) is not None}
     texts = lambda d: [(k, None if v is None else _text(v)) for k, v in d.items()] if isinstance(d, dict) else None
-    return [[float(x) for x in p] for p in polygon] if good else None, texts(images), texts(sections), json.dumps(other, ensure_ascii=False) if other else None
+    return [[float(x) for x in p] for p in polygon] if good else None, texts(images), texts(sections), dumps(other) if other else None
 
 
 def _flatten(full: bool, level: str):  # noqa: ANN202
@@ -91,12 +125,12 @@ def _flatten(full: bool, level: str):  # noqa: ANN202
             for key, text in zip(keys.to_pylist(), texts, strict=True):
                 source = text.as_py()
                 try:
-                    root = json.loads(source) if source else None
-                except (ValueError, RecursionError):
+                    root = loads(source) if source else None
+                except ValueError:
                     continue
                 if not isinstance(root, dict):
                     continue
-                for node, pre, post, depth, path, parent, page in walk(root):
+                for (node, pre, post, _), depth, path, parent, page in linked(labels(root)):
                     values: tuple[Any, ...]
                     if full:
                         box = node.get("bbox")
@@ -177,12 +211,12 @@ def tree_fields(trees: DataFrame, key: str, raw: str) -> DataFrame:
             rows = []
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 try:
-                    root = json.loads(text.as_py() or "null")
-                except (ValueError, RecursionError):
+                    root = loads(text.as_py() or "null")
+                except ValueError:
                     continue
                 if isinstance(root, dict):
                     other = {n: v for n, v in root.items() if n not in ("children", "block_type")}
-                    rows.append((k, _text(root.get("block_type")), json.dumps(other, ensure_ascii=False) if other else None))
+                    rows.append((k, _text(root.get("block_type")), dumps(other) if other else None))
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((_L, _S, _S))], names=["tree_id", "block_type", "other"])
 
     return trees.select(key, raw).mapInArrow(run, "tree_id bigint, block_type string, other string")
@@ -199,14 +233,15 @@ def containers(trees: DataFrame, key: str, raw: str) -> DataFrame:
         for batch in batches:
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 try:
-                    root = json.loads(text.as_py() or "null")
-                except (ValueError, RecursionError):
+                    root = loads(text.as_py() or "null")
+                except ValueError:
                     continue
                 if not isinstance(root, dict):
                     continue
                 rows: list[tuple[Any, ...]] = []
                 open_: dict[str, list[tuple[int, int, int]]] = {}
-                for pre, post, depth, kind in sorted((pre, post, depth, _text(n.get("block_type"))) for n, pre, post, depth, *_ in walk(root)):
+                for (node, pre, post, _), depth, *_rest in linked(labels(root)):
+                    kind = _text(node.get("block_type"))
                     for other in list(open_):
                         stack = open_[other]
                         while stack and stack[-1][1] < post:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docweave.functions import columns as c
+from docweave.functions.deep_json import loads
 from docweave.operators.html_text import HtmlError, expand_references, heading_level, visible_text
 from docweave.operators.nested import children_of
 
@@ -78,8 +79,8 @@ def tree_blocks(trees: DataFrame) -> DataFrame:
             for i, raw in enumerate(batch.column(3)):
                 rows: list[tuple[Any, ...]] = []
                 try:
-                    root = json.loads(raw.as_py() or "")
-                except (ValueError, RecursionError):
+                    root = loads(raw.as_py() or "")
+                except ValueError:
                     continue
                 if not isinstance(root, dict):
                     continue

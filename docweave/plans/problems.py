@@ -34,6 +34,11 @@ def p4_versions(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.file_versions(_files(spark, d), "file_id", "raw_json")
 
 
+def p4_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Every change that a step of the migration chain made to a file."""
+    return schema_drift.steps(_files(spark, d), "file_id", "raw_json")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Every block below a page with its place, parent, id and section."""
     return nested.links(_trees(spark, d), "tree_id", "raw_json").select("tree_id", "node_path", "parent_path", "node_id", "section_id")
@@ -85,6 +90,6 @@ def p5_other_blocks(spark: SparkSession, d: str) -> DataFrame:
     return p5_nodes(spark, d).where(~F.col("block_type").isin(list(BLOCK_TABLES.values())))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_nodes, p4_versions, p5_found, p5_nodes, p5_trees, p5_polygons, p5_images, p5_sections, p5_containers, p5_other_blocks)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_nodes, p4_versions, p4_steps, p5_found, p5_nodes, p5_trees, p5_polygons, p5_images, p5_sections, p5_containers, p5_other_blocks)}
 QUERIES |= {name: _of_type(block_type) for name, block_type in BLOCK_TABLES.items()}
 ORACLE_SQL: dict[str, str] = {}

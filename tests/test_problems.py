@@ -1,5 +1,9 @@
 import json
+import random
 
+import pytest
+
+from docweave.functions import deep_json
 from docweave.operators import nested, schema_drift
 from docweave.operators.schema_drift import SCHEMA_4
 
@@ -60,6 +64,27 @@ def test_consistent_nodes_keep_other_fields_and_names(spark):
     assert (0, "pdf_page_number_1_based", "renamed") in changes(spark, text)
 
 
+def test_chain_records_each_step(spark):
+    text = file_of({**{k: v for k, v in node(scored="yes").items() if k not in ("title", "ordinal_system", "reference_record_id")}, "Node-Title": "t", "recordId": 5, "extra": 1})
+    df = spark.createDataFrame([(1, text), (2, file_of(node())), (3, file_of())], "file_id bigint, raw string")
+    got = {tuple(r) for r in schema_drift.steps(df, "file_id", "raw").collect()}
+    assert got == {(1, 1, 2, "title", "renamed", "Node-Title"), (1, 2, 3, "ordinal_system", "removed", None), (1, 3, 4, "reference_record_id", "renamed", "recordId"), (1, 3, 4, "reference_record_id", "retyped", "integer"), (1, 3, 4, "scored", "retyped", "string"), (1, 3, 4, "extra", "added", None)}
+    assert {r["file_id"]: r["entered_at"] for r in schema_drift.file_versions(df, "file_id", "raw").collect()} == {1: 1, 2: 4, 3: 1}
+
+
+def test_fingerprints_route(spark):
+    of = lambda v: file_of({k: x for k, x in node().items() if k in schema_drift.version_fields(v)})
+    df = spark.createDataFrame([(v, of(v)) for v in (2, 3, 4)], "file_id bigint, raw string")
+    rows = schema_drift.file_versions(df, "file_id", "raw").collect()
+    assert all(schema_drift.known_fingerprints()[r["fingerprint"]] == r["file_id"] == r["entered_at"] for r in rows)
+    assert {(r["file_id"], r["from_version"]) for r in schema_drift.steps(df, "file_id", "raw").collect()} == {(2, 2), (2, 3), (3, 3)}
+
+
+def test_repeated_keys_are_read(spark):
+    text = '{"audited_pages": [{"nodes": [' + json.dumps(node())[:-1] + ', "title": 5}]}], "a": 1, "a": 2}'
+    assert changes(spark, text) == {(0, "title", "retyped")}
+
+
 def test_versions(spark):
     v2 = {k: v for k, v in node().items() if k not in ("ordinal_system", "reference_instance_id", "reference_record_id", "parent_reference_instance_id")}
     df = spark.createDataFrame([(1, file_of(node())), (2, file_of(v2)), (3, file_of({**v2, "ordinal_system": "x"}))], "file_id bigint, raw string")
@@ -125,8 +150,34 @@ def test_containers_are_the_nearest(spark):
 
 
 def test_very_deep_tree(spark):
-    tree = {"id": "leaf", "block_type": "Text"}
-    for _ in range(300):
-        tree = {"id": "g", "block_type": "ListGroup", "children": [tree]}
-    df = spark.createDataFrame([(1, json.dumps({"children": [{"block_type": "Page", "children": [tree]}]}))], "tree_id bigint, raw string")
-    assert nested.links(df, "tree_id", "raw").count() == 301
+    deep = 12_000
+    text = '{"children": [{"block_type": "Page", "children": [' + '{"id": "g", "children": [' * deep + '{"id": "leaf", "section_hierarchy": {"3": "s"}}' + "]}" * deep + "]}]}"
+    df = spark.createDataFrame([(1, text), (2, text[:-1])], "tree_id bigint, raw string")
+    out = nested.links(df, "tree_id", "raw").select("tree_id", "depth", "node_id", "section_id").orderBy("depth").collect()
+    assert len(out) == deep + 1 and tuple(out[-1]) == (1, deep + 1, "leaf", "s") and nested.containers(df, "tree_id", "raw").count() > deep
+
+
+def test_deep_json_reads_and_writes_like_the_library():
+    random.seed(3)
+
+    def value(depth):
+        kind = random.random()
+        if depth and kind < 0.4:
+            return {random.choice(["a", "đ\n", "", '"']): value(depth - 1) for _ in range(random.randint(0, 3))}
+        if depth and kind < 0.7:
+            return [value(depth - 1) for _ in range(random.randint(0, 3))]
+        return random.choice([None, True, False, 0, -12, 1.5, -2e-7, "", "x\u2028", "\\"])
+
+    for _ in range(400):
+        v = value(5)
+        text = json.dumps(v, ensure_ascii=random.random() < 0.5, indent=random.choice([None, 1]))
+        assert deep_json._loads_flat(f" {text}\n") == v and deep_json._dumps_flat(v) == json.dumps(v, ensure_ascii=False)
+        for cut in random.sample(range(len(text)), min(4, len(text))):
+            broken = text[:cut] + random.choice(["", ",", "]", "}", '"', "x"]) + text[cut + 1 :]
+            try:
+                want = json.loads(broken)
+            except ValueError:
+                with pytest.raises(ValueError):
+                    deep_json._loads_flat(broken)
+            else:
+                assert deep_json._loads_flat(broken) == want
