@@ -2,7 +2,9 @@
 
 A sentence is the average of the embeddings of its words, their letter groups and its word pairs, all hashed into one
 table; each subject has a logistic output of its own on that average.  Words are compared without accents and case, and
-letter groups carry over scan noise.
+letter groups carry over scan noise.  One output more tells letterheads, legal bases and closing formulas.  It is learned
+without any list: such sentences treat no subject and stand before the first or after the last sentence that does, while
+sentences that go on with the one before also stand in between.
 """
 
 from __future__ import annotations
@@ -24,14 +26,6 @@ _LEADER = re.compile(r"[ \t]*(?:\.[ \t]?){4,}\s*\d*\s*$|\s*…{2,}\s*\d*\s*$", r
 _END = re.compile(r"(?<=[.!?])[\"”»)]?\s+(?=\S)")
 _BREAK = re.compile(r"\r\n?| | |\x0b|\x0c")
 _BLANKS = re.compile(r"[ \t\u00a0]{2,}")
-# How letterheads, legal bases and closing formulas begin, without accents.
-_FORMAL = re.compile(
-    r"(?:can cu\b|theo de nghi\b|xet (?:ket qua|de nghi|to trinh)|quyet dinh\s*:?$|luu\s*:|noi nhan\b|so\s*:|kinh (?:trinh|gui)|van ban nay co hieu luc|(?:cac|nhung) (?:co quan|don vi) co ten|"
-    r"nhung noi dung trai voi|trong qua trinh thuc hien neu|phu luc kem theo|thoi han bao cao thuc hien theo mau|muc luc$|chuong [ivxlc\d]+\b[^a-z]*$|vt, th\b|tt\s*\||"
-    r"(?:uy ban nhan dan|hoi dong nhan dan|so tong hop|ban quan ly vung|vien nghien cuu do thi)\b(?!.*[.;]$)|cong hoa xa hoi|doc lap\b|.{2,40}, ngay \d+ thang \d+ nam \d+\.?$|"
-    r"(?:draft report|notice|minutes of|summary of|decision|report) .{0,24}no\b|pursuant to|having regard|whereas\b|on the proposal|considering the|this (?:notice|decision|text|report) takes effect|the listed offices|"
-    r"questions may be sent|the annex forms|reports follow the attached|provisions contrary|filed?:|archive|hereby decides?|decides?:?$|submitted to|for consideration)"
-)
 
 
 def fold(text: str) -> str:
@@ -39,93 +33,45 @@ def fold(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text.lower().replace("đ", "d")) if not unicodedata.combining(c))
 
 
-# First letters of the beginnings above, to look closer at few sentences only.
-_BEGINNINGS = (
-    "can cu", "theo de", "xet ", "quyet d", "luu", "noi nhan", "so:", "so :", "so tong", "kinh ", "van ban n", "cac co", "cac don", "nhung ", "trong qu", "phu luc", "thoi han", "muc luc",
-    "chuong ", "vt, th", "tt", "uy ban", "hoi dong", "ban quan", "vien ngh", "cong hoa", "doc lap", "draft r", "notice ", "minutes", "summary", "decisio", "report ", "reports", "pursuan",
-    "having ", "whereas", "on the p", "conside", "this no", "this de", "this te", "this re", "the lis", "questio", "the ann", "provisi", "file", "archive", "hereby ", "decide", "submitt", "for con",
-)
-
-
-@lru_cache(maxsize=100_000)
-def _may_be_formal(beginning: str) -> bool:
-    return fold(beginning).startswith(_BEGINNINGS)
-
-
-_ISSUER = re.compile(r"(?:uy ban nhan dan|hoi dong nhan dan|so tong hop|ban quan ly vung|vien nghien cuu do thi)\b")
-
-
-def is_formal(sentence: str, ended: bool = False) -> bool:
-    """Whether a whole sentence is a letterhead, a legal basis or a closing formula; ``ended``: it ends without its own full stop."""
-    if not _may_be_formal(sentence[:9]) and ", ng" not in (start := sentence[:60]) and ", NG" not in start:
-        return False
-    folded = fold(sentence)
-    return bool(_FORMAL.match(folded)) and not (ended and _ISSUER.match(folded))
-
-
 def _split(text: str) -> list[str]:
     return _END.split(text) if ". " in text or "! " in text or "? " in text else [text]
 
 
-def _goes_on(body: str, following: str) -> bool:
-    """Whether a line that begins with an issuer's name is a sentence wrapped into the following line; letterheads are in capitals."""
-    after = following.strip()
-    return not body.isupper() and bool(after) and "|" not in after and any(map(str.isalpha, after)) and not _ENUMERATOR.match(after) and not is_formal(_split(after)[0]) and bool(_ISSUER.match(fold(body[:60])))
-
-
-def _pieces(line: str) -> list[str]:
-    if "|" not in line:
-        return [line]
-    return [c for c in line.split("|") if sum(map(str.isalpha, c)) >= 12]
-
-
 def sentences(text: str | None) -> list[str]:
-    """The sentences of a text, formal ones left out, enumeration and leaders taken off, wrapped lines joined."""
+    """The sentences of a text: enumeration and leaders taken off, wrapped lines joined, a table row each by itself.
+
+    A line goes on with the one before unless that ended, or ended with a semicolon and this begins no lower-case word.
+    Pieces without a letter are no sentences.
+    """
     if not text or text.isspace():
         return []
     if not unicodedata.is_normalized("NFC", text):
         text = unicodedata.normalize("NFC", text)
     units: list[str] = []
-    leaders: set[int] = set()  # units that a leader ends
-    open_ = False  # the last unit goes on in the next line
-    lines = _BLANKS.sub(" ", _BREAK.sub("\n", text)).split("\n")
-    for line, following in zip(lines, [*lines[1:], ""], strict=True):
+    open_ = False  # the last unit may go on in the next line
+    for line in _BLANKS.sub(" ", _BREAK.sub("\n", text)).split("\n"):
         if not line.strip():
-            open_ = False if units and units[-1][-1:] in ".;:!?" else open_
+            open_ = open_ and units[-1][-1] not in ".;:!?"
             continue
+        ended = False
         if "..." in line or "…" in line or ". ." in line:
             short = _LEADER.sub("", line)
-            ended = short != line
-            line = short
+            ended, line = short != line, short
+        row = "|" in line
+        if row:
+            line = " ".join(line.replace("|", " ").split())
+        m = _ENUMERATOR.match(line)
+        body = (line[m.end() :] if m else line).strip()
+        if not body:
+            open_ = False
+            continue
+        if open_ and not m and not row and (units[-1][-1] != ";" or body[0].islower()):
+            units[-1] += " " + body
         else:
-            ended = False
-        for piece in _pieces(line):
-            m = _ENUMERATOR.match(piece)
-            body = (piece[m.end() :] if m else piece).strip()
-            if not body:
-                open_ = False
-                continue
-            first, *rest = _split(body)
-            while rest and not any(map(str.isalpha, rest[0])):  # the number after 'No.'
-                first += " " + rest.pop(0)
-            formal = is_formal(first, ended and not rest) and (bool(rest) or ended or "|" in line or not _goes_on(body, following))
-            if open_ and not m and not formal and "|" not in line:
-                units[-1] += " " + body
-            elif formal and not rest:
-                open_ = False
-                continue
-            else:
-                units.append(" ".join(rest) if formal else body)
-            if ended:
-                leaders.add(len(units) - 1)
-            open_ = not ended and body[-1] not in ".:!?" and "|" not in line
-    out = []
-    for k, unit in enumerate(units):
-        for s in _split(unit):
-            s = _ENUMERATOR.sub("", s, count=1) if s[:1].isdigit() else s
-            if len(s) > 5 and not is_formal(s, k in leaders):
-                out.append(s)
-    return out
+            units.append(body)
+        open_ = not ended and not row and body[-1] not in ".:!?"
+    every = (_ENUMERATOR.sub("", s, count=1) if s[:1].isdigit() else s for unit in units for s in _split(unit))
+    return [s for s in every if any(map(str.isalpha, s))]
 
 
 # ---------------------------------------------------------------- features
@@ -210,8 +156,9 @@ class Model(NamedTuple):
 
 
 def initial(subjects: int, seed: int = 1) -> Model:
-    """A model before training."""
+    """A model before training: an output for each subject, and the last one for formal sentences."""
     rng = np.random.default_rng(seed)
+    subjects += 1
     return Model((rng.standard_normal((BUCKETS, DIMENSION)) * 0.3).astype(np.float32), (rng.standard_normal((DIMENSION, subjects)) * 0.3).astype(np.float32), np.full(subjects, -2.0, np.float32))
 
 
@@ -262,20 +209,36 @@ class Adam:
         return self.model
 
 
+#: Target of the formal output before anything is known of where subjects are treated.
+FORMAL_PRIOR = 0.1
+
+
+def outside(z: np.ndarray, documents: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """1 for each sentence before the first or after the last one of its document that surely treats one of its subjects, else 0."""
+    sure = np.flatnonzero(np.where(own > 0, z, -1.0).max(1, initial=-1.0) > 0)
+    count = int(documents[-1]) + 1 if documents.size else 0
+    first, last = np.full(count, documents.size), np.full(count, -1)
+    np.minimum.at(first, documents[sure], sure)
+    np.maximum.at(last, documents[sure], sure)
+    at = np.arange(documents.size)
+    return ((at < first[documents]) | (at > last[documents])).astype(np.float32)
+
+
 def assign(z: np.ndarray, documents: np.ndarray, labels: np.ndarray, first: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Targets and importance of each sentence given its document's subjects.
+    """Targets (subjects, then formal) and importance of each sentence given its document's subjects; ``z`` has the subjects' values.
 
     At first every sentence takes its document's subjects in equal shares.  Later a sentence takes the one of them that
-    the model finds likeliest in it; one in which another subject is likelier by far is left out.
+    the model finds likeliest in it, and is formal if it stands outside; one in which another subject is likelier by far
+    is left out.
     """
     own = labels[documents]
     if first:
         share = own / np.maximum(own.sum(1, keepdims=True), 1)
-        return share.astype(np.float32), np.ones(len(z), np.float32)
+        return np.hstack([share, np.full((len(z), 1), FORMAL_PRIOR)]).astype(np.float32), np.ones(len(z), np.float32)
     inside = np.where(own > 0, z, -np.inf)
-    best = inside.argmax(1)
-    targets = np.zeros_like(own, dtype=np.float32)
-    targets[np.arange(len(z)), best] = own.max(1) > 0
+    targets = np.zeros((len(z), own.shape[1] + 1), dtype=np.float32)
+    targets[np.arange(len(z)), inside.argmax(1)] = own.max(1) > 0
+    targets[:, -1] = outside(z, documents, own)
     other = np.where(own > 0, -np.inf, z).max(1)
     importance = np.where((other > inside.max(1) + 1) & (other > 0), 0.0, 1.0)
     return targets, importance.astype(np.float32)
@@ -338,20 +301,21 @@ class Scorer:
         return total / count[:, None] + self.bias, per_text
 
     def subjects(self, texts: list[list[str]], share: float = 0.25) -> list[list[int]]:
-        """The subjects that at least ``share`` of each text's sentences chiefly treat."""
+        """The subjects that at least ``share`` of each text's sentences chiefly treat, formal sentences apart."""
         z, counts = self.document_logits(texts)
-        best, sure = z.argmax(1) if len(z) else np.zeros(0, int), z.max(1) > self.threshold if len(z) else np.zeros(0, bool)
+        count = self.bias.size - 1
+        best, most = z[:, :count].argmax(1), z[:, :count].max(1)
+        plain = (z[:, count] <= 0) | (most > z[:, count])
+        sure = most > self.threshold
         out, at = [], 0
         for n in counts.tolist():
-            if not n:
+            keep = plain[at : at + n]
+            b, s = best[at : at + n][keep], sure[at : at + n][keep]
+            at += n
+            if not s.any():
                 out.append([])
                 continue
-            b, s = best[at : at + n], sure[at : at + n]
-            at += n
-            place = np.maximum.accumulate(np.where(s, np.arange(n), -1))  # a sentence of no subject goes on with the one before
-            if place[-1] >= 0:  # sentences before the first sure one belong to it
-                place[place < 0] = place[place >= 0][0]
-            topics = b[place[place >= 0]]
-            amount = np.bincount(topics, minlength=self.bias.size)
-            out.append(np.flatnonzero(amount >= share * n - 1e-9).tolist() if topics.size else [])
+            place = np.maximum.accumulate(np.where(s, np.arange(s.size), -1))  # a sentence of no subject goes on with the one before
+            place[place < 0] = s.argmax()  # sentences before the first sure one belong to it
+            out.append(np.flatnonzero(np.bincount(b[place], minlength=count) >= share * s.size - 1e-9).tolist())
         return out

@@ -21,8 +21,8 @@ STEPS, REASSIGN = 48, (20, 30, 40)
 RATE = 0.07
 #: Chunks of each part; a step takes one chunk of every part in turn.
 CHUNKS = 4
-#: Parts into which the labelled documents are dealt; each sends one gradient a step.
-PARTS = 6
+#: Labelled documents of a part at least; there are as many parts as the cluster has cores, if the labels are enough for them.
+PART_DOCUMENTS = 32
 ROWS_AT_ONCE = 256
 
 
@@ -85,10 +85,11 @@ def train(labelled: DataFrame, key: str, text: str, subjects: int, steps: int =
             data = _pack(f._asdict() | {"documents": documents, "labels": labels, "targets": targets, "importance": importance})
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([chunk], pa.int32()), pa.array([data], pa.binary())], names=["part", "chunk", "data"])
 
-    place = F.pmod(F.xxhash64(key), F.lit(PARTS * CHUNKS))
-    dealt = labelled.select((place % PARTS).cast("int").alias("part"), F.floor(place / PARTS).cast("int").alias("chunk"), text, "subjects")
+    number = max(1, min(sc.defaultParallelism, labelled.count() // PART_DOCUMENTS))
+    chunk = F.pmod(F.xxhash64(key), F.lit(CHUNKS)).cast("int")  # what a step learns from does not depend on the number of parts
+    dealt = labelled.select(F.pmod(F.xxhash64(key, F.lit(1)), F.lit(number)).cast("int").alias("part"), chunk.alias("chunk"), text, "subjects")
     # repartitionByRange puts each part in a task of its own; sorting makes sums come out the same every time
-    parts = checkpointed(dealt.repartitionByRange(PARTS, "part").sortWithinPartitions("part", "chunk", text).mapInArrow(features, _PART_SCHEMA))
+    parts = checkpointed(dealt.repartitionByRange(number, "part").sortWithinPartitions("part", "chunk", text).mapInArrow(features, _PART_SCHEMA))
     if not parts.limit(1).collect():
         return None
     model = sm.initial(subjects)
@@ -102,7 +103,7 @@ def train(labelled: DataFrame, key: str, text: str, subjects: int, steps: int =
         if step in REASSIGN:
 
             def again(_: int, d: dict[str, np.ndarray], sent: Any = sent) -> dict[str, np.ndarray]:
-                targets, importance = sm.assign(sm.logits(feature_of(d), sm.Model(*sent.value)), d["documents"], d["labels"], False)
+                targets, importance = sm.assign(sm.logits(feature_of(d), sm.Model(*sent.value))[:, :subjects], d["documents"], d["labels"], False)
                 return d | {"targets": targets, "importance": importance}
 
             parts = checkpointed(parts.mapInArrow(_mapped(again), _PART_SCHEMA))
@@ -126,7 +127,7 @@ def train(labelled: DataFrame, key: str, text: str, subjects: int, steps: int =
 
 
 def score(documents: DataFrame, key: str, text: str, model: sm.Model, codes: list[str], threshold: float = 0.0, share: float = 0.25) -> DataFrame:
-    """(key, subject_code): each document's subjects; null, blank and purely formal texts have none.
+    """(key, subject_code): each document's subjects; null, blank and purely formal texts have none.  The model's last output is the formal one.
 
     The per-row table that scoring needs has a fixed size (buckets x subjects) and is broadcast.
     """

@@ -190,22 +190,25 @@ def test_subjects(spark):
 
 def test_sentences():
     text = "ỦY BAN NHÂN DÂN HUYỆN PHÚ LẠC\nSố: 1/QĐ-UBND\nCăn cứ quy chế;\nĐiều 1. Kinh phí cho nhà ở xã\nhội là 5,2 triệu đồng. Tỷ lệ này tăng.\n1. Nạo vét kênh ......... 12\n| 3 | Danh mục nợ đọng được lập. | 7 |\nLưu: VT, TH."
-    assert subject_model.sentences(text) == ["Kinh phí cho nhà ở xã hội là 5,2 triệu đồng.", "Tỷ lệ này tăng.", "Nạo vét kênh", "Danh mục nợ đọng được lập."]
+    assert subject_model.sentences(text) == ["ỦY BAN NHÂN DÂN HUYỆN PHÚ LẠC Số: 1/QĐ-UBND Căn cứ quy chế;", "Kinh phí cho nhà ở xã hội là 5,2 triệu đồng.", "Tỷ lệ này tăng.", "Nạo vét kênh", "3 Danh mục nợ đọng được lập.", "Lưu: VT, TH."]
+    assert subject_model.sentences("a;\nb;\nC;") == ["a; b;", "C;"] and subject_model.sentences("Có.\n12.\nĐ") == ["Có.", "Đ"]
     assert subject_model.sentences(None) == subject_model.sentences("") == subject_model.sentences(" \n ") == []
+    long = "Ủy ban nhân dân cấp huyện có trách nhiệm biên soạn giáo trình tại phường Yên Trạch trước ngày 11/11/2023."
+    assert subject_model.sentences(long + " Tỷ lệ này tăng.") == subject_model.sentences(long.replace("tại ", "tại\n") + "\nTỷ lệ này tăng.") == [long, "Tỷ lệ này tăng."]
 
 
-def test_formality_is_of_whole_sentences():
-    long = "Ủy ban nhân dân cấp huyện có trách nhiệm biên soạn giáo trình tại phường Yên Trạch trước ngày 11/11/2023."
-    assert subject_model.sentences(long + " Tỷ lệ này tăng.") == [long, "Tỷ lệ này tăng."]
-    assert subject_model.sentences("Căn cứ quy chế làm việc. " + long) == [long]
-    assert subject_model.sentences(long.replace("tại ", "tại\n")) == [long]
-    assert subject_model.sentences(long[:-1] + " .......... 4") == [long[:-1]]
-    assert subject_model.sentences("ỦY BAN NHÂN DÂN THÀNH PHỐ HOA LÂM\nMINUTES OF THE MEETING No. 669\nTỷ lệ này tăng.") == ["Tỷ lệ này tăng."]
+def test_formal_sentences_are_learned_from_their_place():
+    z = np.array([[-1, -1], [2, -1], [-1, -1], [-1, 3], [-1, -1], [-1, -1], [1, 9]], float)
+    documents, labels = np.array([0, 0, 0, 0, 0, 1, 1]), np.array([[1, 1], [1, 0]], np.float32)
+    assert subject_model.outside(z, documents, labels[documents]).tolist() == [1, 0, 0, 0, 1, 1, 0]
+    targets, importance = subject_model.assign(z, documents, labels, False)
+    assert targets.tolist() == [[1, 0, 1], [1, 0, 0], [1, 0, 0], [0, 1, 0], [1, 0, 1], [1, 0, 1], [1, 0, 0]] and importance.tolist() == [1, 1, 1, 1, 1, 1, 0]
+    assert subject_model.outside(z[:0], documents[:0], labels[:0]).size == 0
 
 
 def test_gradient_is_the_derivative():
     f = subject_model.training_features(["một hai ba", "bốn", ""])
-    m = subject_model.Model(*(x.astype(np.float64) for x in subject_model.initial(3)))
+    m = subject_model.Model(*(x.astype(np.float64) for x in subject_model.initial(2)))
     targets, weight = np.array([[1, 0, 0], [0, 1, 0], [0, 0, 0]], float), np.ones(3)
     touched, rows, outputs, _, loss = subject_model.gradient(f, m, targets, weight)
     moved = m.outputs.copy()
