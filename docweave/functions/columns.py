@@ -20,6 +20,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, f"^{STRIP}", ""), f"{STRIP}$", "")
 
 
+def casefold(c: Column) -> Column:
+    """Lower case, with the letters folded that lower case leaves apart (sharp s, final sigma)."""
+    return F.replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+
+
 def detection_text(c: Column) -> Column:
     """Text for detection: full-width forms as ASCII, runs of blanks as one, outer blanks off; line feeds stay.
 
@@ -30,7 +35,7 @@ def detection_text(c: Column) -> Column:
 
 # ---------------------------------------------------------------- ordinals
 def _bare_ordinal(raw: Column) -> Column:
-    return F.lower(F.regexp_replace(detection_text(raw), "^[.:-]+|[.:-]+$", ""))
+    return casefold(F.regexp_replace(detection_text(raw), "^[.:-]+|[.:-]+$", ""))
 
 
 def roman_key(raw: Column) -> Column:

@@ -123,14 +123,15 @@ def anchor_partition(blocks: DataFrame, anchors: DataFrame, key: str) -> DataFra
     """
     per = anchors.groupBy(key, "block_id").agg(
         F.count_if(F.col("role") == "object").alias("objects"), F.count_if(F.col("role") != "object").alias("spans"), F.min("char_start").alias("low"), F.max("char_end").alias("high"),
-        F.sum(F.col("char_end") - F.col("char_start")).alias("total"), F.count_distinct("char_start").alias("starts"), F.count_distinct("page_index").alias("anchor_pages"),
+        F.sum(F.col("char_end") - F.col("char_start")).alias("total"), F.count_distinct("char_start").alias("starts"), F.min("page_index").alias("first_page"), F.max("page_index").alias("last_page"),
     )
-    both = blocks.select(key, "block_id", "disposition", F.length("text").alias("n")).join(per, [key, "block_id"], "full")
+    both = blocks.select(key, "block_id", "disposition", F.length("text").alias("n"), F.col("page_index").alias("_page")).join(per, [key, "block_id"], "full")
     content, none = F.col("disposition") == "content", F.col("spans").isNull()
     tiled = (F.col("low") == 0) & (F.col("high") == F.col("n")) & (F.col("total") == F.col("n")) & (F.col("starts") == F.col("spans"))
     rules = {
         "anchor_on_unknown_block": F.col("disposition").isNull(),
         "anchor_on_other_block": ~content & ~none,
+        "anchor_on_other_page": ~none & ((F.col("first_page") != F.col("_page")) | (F.col("last_page") != F.col("_page"))),
         "text_not_covered": content & (F.col("n") > 0) & (none | ~tiled | (F.col("objects") > 0)),
         "empty_block_not_owned_once": content & (F.col("n") == 0) & (none | (F.col("objects") != 1) | (F.col("spans") > 0)),
     }
@@ -197,12 +198,52 @@ def reference_node_violations(nodes: DataFrame) -> DataFrame:
     return defined.unionByName(edge.select(*defined.columns)).unionByName(more)
 
 
+def _strong_components(edges: list[tuple[str, str]]) -> set[str]:
+    """Nodes that are their own ancestor: those in a strongly connected part of several nodes, or with an edge to themselves."""
+    after: dict[str, list[str]] = {}
+    for child, parent in edges:
+        after.setdefault(child, []).append(parent)
+    number: dict[str, int] = {}
+    low: dict[str, int] = {}
+    path: list[str] = []
+    on_path: set[str] = set()
+    out = {c for c, p in edges if c == p}
+    for start in after:
+        if start in number:
+            continue
+        work = [(start, iter(after.get(start, ())))]
+        number[start] = low[start] = len(number)
+        path.append(start)
+        on_path.add(start)
+        while work:
+            node, rest = work[-1]
+            nxt = next(rest, None)
+            if nxt is None:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == number[node]:
+                    part = path[path.index(node) :] if path[-1] != node else [node]
+                    del path[len(path) - len(part) :]
+                    on_path.difference_update(part)
+                    out |= set(part) if len(part) > 1 else set()
+            elif nxt not in number:
+                number[nxt] = low[nxt] = len(number)
+                path.append(nxt)
+                on_path.add(nxt)
+                work.append((nxt, iter(after.get(nxt, ()))))
+            elif nxt in on_path:
+                low[node] = min(low[node], number[nxt])
+    return out
+
+
 def cycles(edges: DataFrame, scope: list[str], child: str, parent: str) -> DataFrame:
     """(scope, child): nodes that are their own ancestor.
 
     Nodes without parents and nodes without children cannot be on a cycle; they are taken off round by round with
-    semi-joins until none is left to take, so only cycles stay (and, where a node has several parents, ways from one
-    cycle to another).  Rounds are as many as the hierarchy is deep.  Null parents and no edges give no cycles.
+    semi-joins until none is left to take.  What stays, nothing in sound data, is cycles and ways between them; each
+    scope's is cut into its strongly connected parts.  Rounds are as many as the hierarchy is deep.  Null parents and no
+    edges give no cycles.
     """
     from docweave.sources.tables import checkpointed
 
@@ -214,7 +255,13 @@ def cycles(edges: DataFrame, scope: list[str], child: str, parent: str) -> DataF
         before, size = size, rest.count()
         if size == before:
             break
-    return rest.select(*scope, F.col("_c").alias(child)).distinct()
+    kinds = dict(rest.dtypes)
+
+    def solve(group: pd.DataFrame) -> pd.DataFrame:
+        found = sorted(_strong_components(list(zip(group["_c"], group["_p"], strict=True))))
+        return pd.DataFrame([(*(group[k].iloc[0] for k in scope), c) for c in found], columns=[*scope, child])
+
+    return rest.groupBy(*scope).applyInPandas(solve, ", ".join(f"`{k}` {kinds[k]}" for k in scope) + f", `{child}` {kinds['_c']}")
 
 
 def manifest_violations(manifests: DataFrame) -> DataFrame:

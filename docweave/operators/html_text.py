@@ -11,11 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # Elements whose end ends a line.
-LINE_ENDS = frozenset("address article aside blockquote dd div dl dt figcaption figure footer h1 h2 h3 h4 h5 h6 header li ol p pre section table tr ul".split())
+LINE_ENDS = frozenset("address article aside blockquote div footer h1 h2 h3 h4 h5 h6 header li ol p pre section table td th tr ul".split())
 MAX_REFERENCE_DEPTH = 64
 _BLANKS = re.compile(r"\s+")
-_REFERENCE = re.compile(r"<content-ref\s+src=(['\"])(.*?)\1\s*>\s*</content-ref>|<content-ref\s+src=(['\"])(.*?)\3\s*/>")
-_HEADING = re.compile(r"<h([1-6])(?:\s[^>]*)?>", re.I)
+# Fixed value: a content reference, empty and with a closing tag.
+_REFERENCE = re.compile(r"""<content-ref\s+src=(?:'([^'"]+)'|"([^'"]+)")\s*></content-ref>""")
+# Heading elements with their levels.
+HEADINGS = {"h1": 1, "h2": 2, "h3": 3, "h4": 4, "h5": 5, "h6": 6}
 
 
 class HtmlError(ValueError):
@@ -23,7 +25,7 @@ class HtmlError(ValueError):
 
 
 class _Visible(HTMLParser):
-    CDATA_CONTENT_ELEMENTS = ()  # bodies of script and style are kept as text
+    """Collects text and line ends; bodies of script and style are text as they stand."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -52,10 +54,22 @@ def visible_text(source: str | None) -> str:
     return "\n".join(line for line in lines if line)
 
 
+class _Heading(HTMLParser):
+    level: int | None = None
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.level is None:
+            self.level = HEADINGS.get(tag)
+
+
 def heading_level(source: str | None) -> int | None:
-    """The level of the first heading element, or None."""
-    m = _HEADING.search(source or "")
-    return int(m[1]) if m else None
+    """The level of the first heading element, or None; what looks like one inside a comment is none."""
+    if not source:
+        return None
+    parser = _Heading()
+    parser.feed(source)
+    parser.close()
+    return parser.level
 
 
 def expand_references(block: Mapping[str, Any]) -> str:
@@ -75,7 +89,7 @@ def expand_references(block: Mapping[str, Any]) -> str:
                 children[name] = child
 
         def put(m: re.Match[str]) -> str:
-            name = m[2] or m[4]
+            name = m[1] or m[2]
             if name in path:
                 raise HtmlError(f"cycle at {name}")
             if name not in children:
@@ -108,7 +122,7 @@ class Grid(NamedTuple):
 
 
 def _span(value: str | None) -> int:
-    if value is None or not value.strip():
+    if value is None:  # absent, or without a value
         return 1
     try:
         n = int(value)
@@ -128,7 +142,7 @@ class _Table(HTMLParser):
         self.inside = self.row_open = False
         self.rows: list[list[tuple[str, bool, int, int]]] = []
         self.cell: tuple[str, bool, int, int] | None = None
-        self.text: list[str] = []
+        self.text: list[list[str]] = []  # the pieces of each line of the open cell
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "table":
@@ -148,18 +162,19 @@ class _Table(HTMLParser):
             if not self.row_open or self.cell:
                 raise HtmlError("cell outside a row or within a cell")
             spans = dict(attrs)
-            self.cell, self.text = ("", tag == "th", _span(spans.get("rowspan")), _span(spans.get("colspan"))), []
+            self.cell, self.text = ("", tag == "th", _span(spans.get("rowspan")), _span(spans.get("colspan"))), [[]]
         elif tag == "br" and self.cell:
-            self.text.append("\n")
+            self.text.append([])
 
     def handle_endtag(self, tag: str) -> None:
         if not self.inside:
+            if tag == "table":
+                raise HtmlError("table end without a table")
             return
         if tag in ("td", "th"):
             if not self.cell:
                 raise HtmlError("cell end without start")
-            lines = "".join(x if x == "\n" else _BLANKS.sub(" ", x) for x in self.text).split("\n")
-            text = "\n".join(_BLANKS.sub(" ", line).strip() for line in lines).strip()
+            text = "\n".join(_BLANKS.sub(" ", "".join(line)).strip() for line in self.text).strip()
             self.rows[-1].append((text, *self.cell[1:]))
             self.cell = None
         elif tag == "tr":
@@ -173,7 +188,7 @@ class _Table(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if self.cell:
-            self.text.append(data)
+            self.text[-1].append(data)
 
 
 def table_grid(source: str | None) -> Grid | None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from typing import Any
 
@@ -32,6 +33,15 @@ def latest(df: DataFrame, keys: list[str], *newest: str) -> DataFrame:
     return best.select(*keys, *(F.col(f"_b.{x}").alias(x) for x in (*newest, *rest)))
 
 
+def latest_wide(df: DataFrame, keys: list[str], newest: str, row_id: str) -> DataFrame:
+    """As ``latest`` for rows with a long value: the last delivery is found on narrow columns, and its row looked up by its id.
+
+    ``row_id`` is unique but for rows repeated as a whole, of which one stays.
+    """
+    last = df.groupBy(*keys).agg(F.max(F.struct(newest, row_id)).alias("_b")).select(F.col(f"_b.{row_id}").alias(row_id))
+    return df.join(last, row_id, "left_semi").dropDuplicates([row_id])
+
+
 def list_blocks(items: DataFrame) -> DataFrame:
     """Blocks of flat-list items (run_id, document_id, version_id, raw_index, page_idx, item_type, item_text, bbox, ...).
 
@@ -51,6 +61,19 @@ def list_blocks(items: DataFrame) -> DataFrame:
     return rows.withColumn("block_id", c.block_id(F.col("document_id"), F.coalesce("version_id", F.lit("")), F.col("page_index"), F.col("reading_order"))).select(*BLOCK_COLUMNS)
 
 
+# Fixed value: the id of a page, with its number.
+PAGE_ID = re.compile(r"/page/([0-9]+)/Page/[0-9]+")
+
+
+def _page_problem(page: dict[str, Any], number: int) -> str | None:
+    """Why a page breaks the contract: an id of another form or number, or a box without extent."""
+    named = PAGE_ID.fullmatch(page["id"]) if isinstance(page.get("id"), str) else None
+    if not named or int(named[1]) != number:
+        return "page id"
+    x0, y0, x1, y1 = _box(page)
+    return None if x0 is not None and x0 < x1 and y0 < y1 else "page box"
+
+
 _TREE_FIELDS = {
     "page_index": pa.int32(), "reading_order": pa.int32(), "raw_index": pa.int32(), "raw_type": pa.string(), "text": pa.string(), "px0": pa.float64(), "py0": pa.float64(), "px1": pa.float64(),
     "py1": pa.float64(), "bx0": pa.float64(), "by0": pa.float64(), "bx1": pa.float64(), "by1": pa.float64(), "heading": pa.int32(), "table_html": pa.string(), "problem": pa.string(),
@@ -67,10 +90,10 @@ def tree_blocks(trees: DataFrame) -> DataFrame:
     """Blocks of nested trees (tree_id, run_id, document_id, version_id, raw_json): the direct children of each page.
 
     Nested children are not blocks of their own; their text comes in by content references.  Boxes are projected on the
-    page's 0 .. 1000 scale.  ``problem`` names what breaks the contract (references, page id, box); unreadable trees give
-    no rows.  A tree delivered again counts once.
+    page's 0 .. 1000 scale.  ``problem`` names what breaks the contract (references, else the page's id or box, else the
+    block's box); unreadable trees give no rows.  A tree delivered again counts once.
     """
-    once = latest(trees.select("run_id", "document_id", "version_id", "ingested_at", "tree_id", "raw_json"), ["run_id"], "ingested_at", "tree_id")
+    once = latest_wide(trees.select("run_id", "document_id", "version_id", "ingested_at", "tree_id", "raw_json"), ["run_id"], "ingested_at", "tree_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,11 +111,11 @@ def tree_blocks(trees: DataFrame) -> DataFrame:
                 for p, page in enumerate(children_of(root)):
                     if not isinstance(page, dict):
                         continue
-                    page_box = _box(page)
+                    page_box, broken = _box(page), _page_problem(page, p)
                     for k, block in enumerate(children_of(page)):
                         if not isinstance(block, dict):
                             continue
-                        problem, source = None, block.get("html") or ""
+                        problem, source = broken or (None if _box(block)[0] is not None else "box"), block.get("html") or ""
                         try:
                             source = expand_references({**block, "children": children_of(block)})
                         except HtmlError as e:

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docweave.functions import columns as c
+
 GROUP = ("page_index", "kind", "ordinal_key")
 
 
@@ -50,16 +52,10 @@ def match(references: DataFrame, predictions: DataFrame, document: list[str]) ->
     def by_parent(rs: pd.DataFrame, ps: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(rs) and len(ps):
-            rest, open_ = list(zip(rs["ref_id"], rs["_parent"], strict=True)), list(zip(ps["pred_id"], ps["_parent"], strict=True))
             head = tuple(rs[k].iloc[0] for k in key)
-            while True:
-                pairs = [(a, [b for b, parent in open_ if parent == want]) for a, want in rest]
-                wanted = [b for _, bs in pairs for b in bs]
-                sure = {a: bs[0] for a, bs in pairs if len(bs) == 1 and wanted.count(bs[0]) == 1}
-                if not sure:
-                    break
-                rows += [(*head, a, b, False) for a, b in sure.items()]
-                rest, open_ = [x for x in rest if x[0] not in sure], [x for x in open_ if x[0] not in set(sure.values())]
+            # a parent path that one reference and one prediction have pairs them; nothing else changes by that, so once is enough
+            sides = [{p: list(ids) for p, ids in side.groupby("_parent")[name]} for side, name in ((rs, "ref_id"), (ps, "pred_id"))]
+            rows = [(*head, sides[0][p][0], sides[1][p][0], False) for p in sides[0] if len(sides[0][p]) == len(sides[1].get(p, ())) == 1]
         return pd.DataFrame(rows, columns=[*key, "ref_id", "pred_id", "ambiguous"])
 
     # only parent paths that occur on both sides can meet
@@ -84,8 +80,8 @@ def metric(tp: Column, fp: Column, fn: Column) -> list[Column]:
 
 
 def folded_title(title: Column) -> Column:
-    """Titles compare in lower case with blanks collapsed."""
-    return F.trim(F.regexp_replace(F.lower(title), "(?U)\\s+", " "))
+    """Titles compare case-folded with blanks collapsed."""
+    return F.trim(F.regexp_replace(c.casefold(title), "(?U)\\s+", " "))
 
 
 def compare(references: DataFrame, predictions: DataFrame, matched: DataFrame, document: list[str]) -> DataFrame:

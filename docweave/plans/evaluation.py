@@ -100,12 +100,18 @@ def cycle_check(spark: SparkSession, d: str) -> DataFrame:
     return checks.cycles(n, ["document_id", "version_id", "annotation_version"], "reference_instance_id", "parent_reference_instance_id")
 
 
+def _run_names(spark: SparkSession, d: str) -> DataFrame:
+    """(run_id, document_id, version_id, parser) of the runs in the raw tables, from narrow columns."""
+    of = lambda table, parser: read_table(spark, d, table).select(*DOCUMENT).distinct().withColumn("parser", F.lit(parser))
+    return of("mineru_items", "mineru").union(of("marker_trees", "marker"))
+
+
 def _outline_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(references of each run's version, predicted nodes) for structural matching."""
+    """(references of each run's version, predicted nodes) for structural matching; outlines are made once and written."""
     blocks = physical.all_blocks(read_table(spark, d, "mineru_items"), read_table(spark, d, "marker_trees"))
-    runs = blocks.select(*DOCUMENT, "parser").distinct()
-    nodes = outline.nodes(outline.outline_records(blocks, "run_id"), "run_id").where("kind <> 'document'")
-    predictions = nodes.join(runs, "run_id").select(*DOCUMENT, "parser", "page_index", "kind", "ordinal_key", F.col("node_id").alias("id"), "path", "parent_path", "title")
+    every = checkpointed(outline.nodes(outline.outline_records(blocks, "run_id"), "run_id").join(_run_names(spark, d), "run_id"))
+    runs = every.where("kind = 'document'").select(*RUN)
+    predictions = every.where("kind <> 'document'").select(*RUN, "page_index", "kind", "ordinal_key", F.col("node_id").alias("id"), "path", "parent_path", "title")
     r = read_table(spark, d, "ref_nodes").select("document_id", "version_id", "page_index", "kind", "canonical_path", "created_at", "node_row_id", "ordinal_key", "parent_canonical_path", "title", "scored")
     once = physical.latest(r, ["document_id", "version_id", "page_index", "kind", "canonical_path"], "created_at", "node_row_id")
     references = once.select("document_id", "version_id", "page_index", "kind", "ordinal_key", F.format_string("%012d", "node_row_id").alias("id"), F.col("canonical_path").alias("path"), F.col("parent_canonical_path").alias("parent_path"), "title", "scored")
@@ -115,7 +121,7 @@ def _outline_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def _scored_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Both sides within scope, written once: matching reads them in each of its stages, and outlines are costly."""
     r, p = _outline_sides(spark, d)
-    r, p = structural.in_scope(r, checkpointed(p), DOCUMENT)
+    r, p = structural.in_scope(r, p, DOCUMENT)
     return checkpointed(r), checkpointed(p)
 
 

@@ -57,11 +57,11 @@ def page_methods(files: DataFrame) -> DataFrame:
     return stats.select("directory", F.col("s.page_id").alias("page_index"), F.lower(F.trim("s.text_extraction_method")).alias("method"))
 
 
-def run_records(inside: DataFrame, beside: DataFrame) -> DataFrame:
-    """(directory, path, problem): the run record inside or beside a raw directory; both or neither is a problem."""
+def run_records(inside: DataFrame, beside: DataFrame, directories: DataFrame) -> DataFrame:
+    """(directory, path, problem): the run record inside or beside each raw directory; both, or neither, is a problem."""
     a, b = inside.select("directory", F.col("path").alias("inside")), beside.select("directory", F.col("path").alias("beside"))
-    both = a.join(b, "directory", "full")
-    problem = F.when(F.col("inside").isNotNull() & F.col("beside").isNotNull(), "two run records")
+    both = directories.select("directory").distinct().join(a, "directory", "left").join(b, "directory", "left")
+    problem = F.when(F.col("inside").isNotNull() & F.col("beside").isNotNull(), "two run records").when(F.coalesce("inside", "beside").isNull(), "no run record")
     return both.select("directory", F.coalesce("inside", "beside").alias("path"), problem.alias("problem"))
 
 
