@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
 from typing import Any
@@ -19,7 +18,7 @@ from docweave.operators.nested import children_of
 
 BLOCK_COLUMNS = (
     "run_id", "document_id", "version_id", "page_index", "reading_order", "raw_index", "block_id", "raw_type", "kind_v0", "disposition_v0", "kind", "disposition", "text", "x0", "y0", "x1", "y1",
-    "heading_level", "table_html", "image_path",
+    "heading_level", "table_html", "image_path", "width", "height",
 )
 
 
@@ -57,6 +56,7 @@ def list_blocks(items: DataFrame) -> DataFrame:
         c.list_kind(kind, level, 0).alias("kind_v0"), c.list_disposition(kind, 0).alias("disposition_v0"), c.list_kind(kind, level, 1).alias("kind"), c.list_disposition(kind, 1).alias("disposition"),
         F.coalesce(c.strip(F.col("item_text")), F.lit("")).alias("text"), *(F.when(F.size("bbox") == 4, b).alias(n) for b, n in zip(box, ("x0", "y0", "x1", "y1"), strict=True)),
         F.when((kind == "text") & (level >= 1), level).alias("heading_level"), F.col("table_body").alias("table_html"), F.col("img_path").alias("image_path"),
+        F.lit(None).cast("double").alias("width"), F.lit(None).cast("double").alias("height"),
     )
     return rows.withColumn("block_id", c.block_id(F.col("document_id"), F.coalesce("version_id", F.lit("")), F.col("page_index"), F.col("reading_order"))).select(*BLOCK_COLUMNS)
 
@@ -135,7 +135,8 @@ def tree_blocks(trees: DataFrame) -> DataFrame:
     return flat.select(
         "run_id", "document_id", "version_id", "page_index", "reading_order", "raw_index", c.block_id(F.col("document_id"), F.coalesce("version_id", F.lit("")), F.col("page_index"), F.col("reading_order")).alias("block_id"),
         "raw_type", c.tree_kind(kind, 0).alias("kind_v0"), c.tree_disposition(kind).alias("disposition_v0"), c.tree_kind(kind, 1).alias("kind"), c.tree_disposition(kind).alias("disposition"), "text",
-        at("x0", "x"), at("y0", "y"), at("x1", "x"), at("y1", "y"), F.col("heading").alias("heading_level"), "table_html", F.lit(None).cast("string").alias("image_path"), "problem",
+        at("x0", "x"), at("y0", "y"), at("x1", "x"), at("y1", "y"), F.col("heading").alias("heading_level"), "table_html", F.lit(None).cast("string").alias("image_path"),
+        (F.col("px1") - F.col("px0")).alias("width"), (F.col("py1") - F.col("py0")).alias("height"), "problem",
     )
 
 
@@ -159,45 +160,3 @@ def extraction_evidence(blocks: DataFrame, page_methods: DataFrame | None = None
     m = page_methods.select("run_id", "page_index", F.lower(F.trim("method")).alias("_m")).dropDuplicates(["run_id", "page_index"])
     found = blocks.join(m, ["run_id", "page_index"], "left")
     return found.withColumn("extraction_method", F.when(F.col("text") != "", F.when(F.col("_m") == "pdftext", "native_text").otherwise("unknown"))).drop("_m")
-
-
-def _plain(value: Any) -> Any:
-    return {k: _plain(v) for k, v in value.asDict().items()} if hasattr(value, "asDict") else [_plain(v) for v in value] if isinstance(value, list) else value
-
-
-def canonical_json(value: Any, sort_keys: bool = False) -> str:
-    """Canonical JSON: field order kept (or keys sorted for reports), non-ASCII kept, indent 2, line feed at the end, no NaN."""
-    return json.dumps(_plain(value), ensure_ascii=False, indent=2, sort_keys=sort_keys, allow_nan=False) + "\n"
-
-
-def canonical_documents(blocks: DataFrame, generation: int = 2) -> DataFrame:
-    """(run_id, document_json, sha256): each run's physical document in canonical form and its identity hash.
-
-    A document is one value by contract, so its blocks are brought together; provenance fields come from the blocks'
-    columns parser, parser_version, parser_backend, source_artifact_sha256 where present.
-    """
-    have = set(blocks.columns)
-    text = lambda n, d: F.col(n) if n in have else F.lit(d)
-    provenance = [text("parser", "unknown").alias("parser"), text("parser_version", "unknown").alias("parser_version"), text("parser_backend", "unknown").alias("parser_backend"), text("source_raw_artifact", "raw.json").alias("source_raw_artifact"), F.col("raw_index").alias("source_raw_index")]
-    box = F.struct("x0", "y0", "x1", "y1", F.lit("normalized_1000").alias("coordinate_system"))
-    kind, disposition = ("kind", "disposition") if generation == 2 else ("kind_v0", "disposition_v0")
-    if generation == 2:
-        provenance.append(F.col("raw_type").alias("source_raw_type"))
-    fields = [F.col("block_id").alias("id"), "page_index", "reading_order", F.col(kind).alias("kind"), F.col(disposition).alias("disposition"), "text", box.alias("bbox"), F.when(F.col(kind) == "title", F.col("heading_level")).alias("heading_level"), F.struct(*provenance).alias("provenance")]
-    one = F.struct("page_index", "reading_order", F.struct(*fields).alias("block"))
-    grouped = blocks.groupBy("run_id", "document_id", "version_id", text("parser", "unknown").alias("parser")).agg(F.array_sort(F.collect_list(one)).alias("blocks"))
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                pages: dict[int, list[Any]] = {}
-                for b in row["blocks"]:
-                    pages.setdefault(b["page_index"], []).append(b["block"])
-                count = max(pages, default=-1) + 1
-                document = {"physical_ir_version": generation, "document_id": row["document_id"], "version_id": row["version_id"], "parser": row["parser"], "page_count": count, "pages": [{"page_index": p, "width": None, "height": None, "blocks": pages.get(p, [])} for p in range(count)]}
-                out.append((row["run_id"], canonical_json(document)))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.string())], names=["run_id", "document_json"])
-
-    built = grouped.mapInArrow(build, "run_id bigint, document_json string")
-    return built.withColumn("sha256", F.sha2("document_json", 256))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.operators import audit, checks, html_text, nested, outline, physical
+from docweave.operators import assets, audit, canonical, checks, html_text, nested, outline, physical
+from docweave.plans import extraction_sql as sql
 from docweave.sources.tables import read_table, spread
 
 
@@ -100,11 +101,41 @@ def page_checks(spark: SparkSession, d: str) -> DataFrame:
     return checks.page_violations(b).unionByName(checks.document_violations(b).withColumn("page_index", F.lit(None).cast("int")))
 
 
+def _documents_of(spark: SparkSession, d: str, blocks: DataFrame) -> DataFrame:
+    """Blocks with the provenance of their runs: digest, version and backend; blank ones count as unknown."""
+    said = lambda n: F.when(F.trim(n) != "", F.trim(n))
+    runs = read_table(spark, d, "parser_runs").select("run_id", F.lower(said("input_sha256")).alias("source_artifact_sha256"), said("parser_version").alias("parser_version"), said("backend").alias("parser_backend"))
+    return blocks.join(runs, "run_id", "left")
+
+
 def canonical_identity(spark: SparkSession, d: str) -> DataFrame:
     """Identity hash of each run's canonical physical document, for both parsers."""
     blocks = physical.all_blocks(read_table(spark, d, "mineru_items"), read_table(spark, d, "marker_trees"))
-    parser = blocks.select("run_id", "parser").distinct()
-    return physical.canonical_documents(blocks).select("run_id", "sha256", F.length("document_json").alias("n_chars")).join(parser, "run_id")
+    return canonical.identities(_documents_of(spark, d, blocks))
+
+
+def canonical_identity_lists(spark: SparkSession, d: str) -> DataFrame:
+    """The same for the flat lists in the first generation's form."""
+    return canonical.identities(_documents_of(spark, d, list_blocks_of(spark, d)).withColumn("parser", F.lit("mineru")), generation=1)
+
+
+def canonical_determinism(spark: SparkSession, d: str) -> DataFrame:
+    """Runs whose identity differs when their blocks come in another order; none if all is well."""
+    blocks = _documents_of(spark, d, list_blocks_of(spark, d)).withColumn("parser", F.lit("mineru"))
+    return audit.same_twice(canonical.identities(blocks), canonical.identities(blocks.repartition(7, "block_id")), "run_id", "sha256")
+
+
+def tree_block_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Nested-tree blocks with kinds and projected boxes, without their text."""
+    t = tree_blocks_of(spark, d)
+    return t.select("run_id", "page_index", "reading_order", "raw_index", "block_id", "raw_type", "kind_v0", "kind", "disposition", "x0", "y0", "x1", "y1")
+
+
+def embedded_assets(spark: SparkSession, d: str) -> DataFrame:
+    """Embedded images of all tree nodes, fingerprinted; problem says why one is refused."""
+    nodes = nested.nodes(spread(read_table(spark, d, "marker_trees").select("tree_id", "raw_json")), "tree_id", "raw_json")
+    found = assets.embedded(nodes.select("tree_id", "node_path", F.explode("images").alias("image_id", "image")), ["tree_id", "node_path", "image_id"], "image")
+    return found.select("tree_id", "node_path", "image_id", "asset.storage_kind", "asset.media_type", "asset.sha256", "asset.byte_size", "problem")
 
 
 def _tables(spark: SparkSession, d: str) -> DataFrame:
@@ -200,6 +231,33 @@ def hierarchy_edges(spark: SparkSession, d: str) -> DataFrame:
     return own.unionByName(checks.anchor_violations(outline.anchors(records, "doc_id"), "doc_id").drop("block_id"))
 
 
+def outline_cover(spark: SparkSession, d: str) -> DataFrame:
+    """What the anchors of each text cover: characters, extent, and the digest of their slices put together in order."""
+    a = outline.anchors(text_outline(spark, d), "doc_id").where("role <> 'object'")
+    total = a.groupBy("doc_id").agg(
+        F.sum(F.col("char_end") - F.col("char_start")).cast("bigint").alias("covered"), F.min("char_start").cast("bigint").alias("first_start"), F.max("char_end").cast("bigint").alias("last_end"),
+        F.sort_array(F.collect_list(F.struct("char_start", "char_end"))).alias("spans"),
+    )
+    joined = total.join(read_table(spark, d, "documents").where(F.length("text") > 0).select("doc_id", "text"), "doc_id")
+    slices = F.array_join(F.transform("spans", lambda x: F.substring(F.col("text"), x["char_start"] + 1, x["char_end"] - x["char_start"])), "")
+    return joined.select("doc_id", "covered", "first_start", "last_end", F.sha2(slices, 256).alias("sha256"))
+
+
+def outline_articles(spark: SparkSession, d: str) -> DataFrame:
+    """Articles of the texts whose articles follow from single lines, as SQL can tell: no other formal head, no contents or leaders, no odd line ends."""
+    t = F.col("text")
+    plain = read_table(spark, d, "documents").where((F.length(t) > 0) & ~t.rlike(f"(?iuUdm){sql.CONTAINER_HEAD}") & ~t.rlike(f"(?iuUd){sql.CONTENTS}") & ~t.rlike(sql.ODD_ENDS)).select("doc_id")
+    n = outline.nodes(text_outline(spark, d), "doc_id").where("kind = 'article'")
+    return n.join(plain, "doc_id", "left_semi").select("doc_id", "ordinal_key", "path", "depth")
+
+
+def outline_binding(spark: SparkSession, d: str) -> DataFrame:
+    """The outline of each run bound to its canonical document: number of nodes and the document's hash."""
+    blocks = physical.all_blocks(read_table(spark, d, "mineru_items"), read_table(spark, d, "marker_trees"))
+    n = outline.nodes(outline.outline_records(blocks, "run_id"), "run_id").groupBy("run_id").agg(F.count("*").alias("nodes"))
+    return canonical.source_binding(n, canonical.identities(_documents_of(spark, d, blocks)))
+
+
 def evidence_backing(spark: SparkSession, d: str) -> DataFrame:
     """Outline nodes whose marker or title is not backed by the text; none if all is well."""
     records = text_outline(spark, d)
@@ -209,9 +267,9 @@ def evidence_backing(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        list_blocks, tree_blocks, kind_disposition_matrix, kind_transitions, block_summary, run_throughput, block_checks, page_checks, canonical_identity, table_grid_cells, table_shapes, grid_overlap_violations,
+        list_blocks, tree_blocks, kind_disposition_matrix, kind_transitions, block_summary, run_throughput, block_checks, page_checks, canonical_identity, canonical_identity_lists, canonical_determinism, tree_block_boxes, embedded_assets, table_grid_cells, table_shapes, grid_overlap_violations,
         kind_disposition_matrix_all, kind_transitions_all, block_summary_all, run_throughput_all, block_checks_all, page_checks_all, table_grid_cells_all, table_shapes_all,
-        visible_text_stats, outline_nodes, outline_run_nodes, outline_kinds, outline_diagnostics, outline_partition, hierarchy_edges, evidence_backing,
+        visible_text_stats, outline_nodes, outline_run_nodes, outline_kinds, outline_diagnostics, outline_partition, hierarchy_edges, evidence_backing, outline_cover, outline_articles, outline_binding,
     )
 }
 
@@ -225,6 +283,8 @@ blocks as (select *, page_idx as page_index, row_number() over (partition by run
   case when item_type = 'text' and text_level >= 1 then text_level end as heading_level from once)"""
 _BLOCKS = "with " + ITEMS + " "
 ORACLE_SQL = {
+    "tree_block_boxes": sql.TREE_BLOCKS + "select run_id, page_index, reading_order, raw_index, block_id, raw_type, kind_v0, kind, disposition, x0, y0, x1, y1 from tree_block",
+    "visible_text_stats": sql.VISIBLE, "canonical_identity_lists": _BLOCKS + sql.CANONICAL, "table_grid_cells": sql.GRID, "embedded_assets": sql.ASSETS, "outline_cover": sql.COVER, "outline_articles": sql.ARTICLES,
     "list_blocks": _BLOCKS + """select run_id, raw_index, page_index, reading_order, document_id || '_' || coalesce(version_id, '') || '_p' || printf('%04d', page_index) || '_b' || printf('%04d', reading_order) as block_id,
       kind_v0, disposition_v0, kind, disposition, md5(clean) as text_md5, x0, y1, heading_level from blocks""",
     "kind_disposition_matrix": _BLOCKS + "select item_type as raw_type, kind, disposition, count(*) as n from blocks group by all",
@@ -239,10 +299,6 @@ ORACLE_SQL = {
       select run_id, block_id, rule_id from v where rule_id is not null""",
     "table_shapes": """with t as (select item_id, (length(table_body) - length(replace(table_body, '<tr', ''))) // 3 as row_count, (length(table_body) - length(replace(replace(table_body, '<td', ''), '<th', ''))) // 3 as cells
       from mineru_items where table_body like '%<table%') select item_id, cast(row_count as bigint) as row_count, cast(cells // row_count as bigint) as column_count, cast(cells as bigint) as cells from t""",
-    "grid_overlap_violations": 'select item_id, cast(null as integer) as "row", cast(null as integer) as "column", cast(null as bigint) as owners from mineru_items where false',
-    "outline_partition": "select doc_id, cast(null as varchar) as block_id, cast(null as varchar) as rule_id from documents where false",
-    "evidence_backing": "select doc_id, cast(null as varchar) as node_id, cast(null as varchar) as rule_id from documents where false",
-    "hierarchy_edges": "select doc_id, cast(null as varchar) as node_id, cast(null as varchar) as rule_id from documents where false",
     "page_checks": _BLOCKS + """, r as (select run_id, min(page_index) as low, max(page_index) as high, count(distinct page_index) as pages from blocks group by run_id)
       select run_id, cast(null as integer) as page_index, 'pages_not_contiguous' as rule_id from r where low <> 0 or high <> pages - 1""",
 }

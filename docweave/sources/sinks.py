@@ -5,9 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 PROTECTED = ("run.json", "stdout.log", "stderr.log", "artifact_manifest.json")
@@ -40,10 +41,41 @@ def publish(text: str, target: Path) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-def write_canonical(documents: DataFrame, target: str, raw_directory: str) -> None:
-    """Canonical documents (document_json) as text files, committed by Spark's committer, one line per document."""
+def write_canonical(chunks: DataFrame, target: str, raw_directory: str) -> DataFrame:
+    """One file a run, ``<run_id>.json``, from the parts of canonical texts; (run_id, sha256, byte_size) of what was written.
+
+    ``target`` is a folder that all executors share.  A file is written beside its place and moved there at once, so a
+    task that runs again leaves the same file.  Nothing is written until the result is read.
+    """
     guard(target, raw_directory)
-    documents.select("document_json").write.mode("error").option("lineSep", "\x1e\n").text(target)
+    names = ["run_id", "sha256", "byte_size"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Path(target).mkdir(parents=True, exist_ok=True)
+        done: list[tuple[int, str, int]] = []
+        key, file, digest = None, None, hashlib.sha256()
+
+        def close() -> None:
+            if file is not None:
+                size = file.tell()
+                file.close()
+                os.replace(file.name, Path(target) / f"{key}.json")
+                done.append((key, digest.hexdigest(), size))
+
+        for batch in batches:
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if file is None or k != key:
+                    close()
+                    key, digest = k, hashlib.sha256()
+                    file = open(Path(target) / f".{k}.{os.getpid()}.part", "wb")
+                data = text.encode()
+                digest.update(data)
+                file.write(data)
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([d[n] for d in done], t) for n, t in enumerate((pa.int64(), pa.string(), pa.int64()))], names=names)
+
+    parts = chunks.select("run_id", "part", "chunk").repartition("run_id").sortWithinPartitions("run_id", "part")
+    return parts.mapInArrow(run, "run_id bigint, sha256 string, byte_size bigint")
 
 
 def evidence_json(tables: dict[str, DataFrame]) -> str:

@@ -1,11 +1,14 @@
+import base64
+import hashlib
 import itertools
 import json
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from docweave.operators import audit, checks, html_text, physical, spatial, structural
+from docweave.operators import assets, audit, canonical, checks, html_text, physical, spatial, structural
 from docweave.sources import raw, sinks
 
 
@@ -83,7 +86,7 @@ def test_list_blocks(spark):
     assert physical.list_blocks(df.limit(0)).count() == 0
     again = physical.list_blocks(df.union(df))
     assert again.count() == 5 and checks.page_violations(again).count() == 0
-    a, b = (physical.canonical_documents(physical.list_blocks(x)) for x in (df, df.repartition(3)))
+    a, b = (canonical.identities(physical.list_blocks(x)) for x in (df, df.repartition(3)))
     assert audit.same_twice(a, b, "run_id", "sha256").count() == 0
 
 
@@ -102,6 +105,59 @@ def test_tree_blocks(spark):
     assert physical.tree_blocks(later).count() == 4
 
 
+# A published flat list and the digest of its canonical document in the first form.
+PUBLISHED_LIST = [
+    ("header", "ỦY BAN NHÂN DÂN THÀNH PHỐ HÀ NỘI", [184, 64, 401, 102], None, 0), ("text", "QUYẾT ĐỊNH", [242, 229, 816, 252], 1, 0), ("text", "Số: /QĐ-UBND", [189, 123, 396, 142], None, 0), ("page_number", "1", [500, 950, 520, 970], None, 0),
+    ("text", "Điều 1. Quy định chung", [100, 150, 600, 180], 2, 1), ("text", "Nội dung điều 1 thi hành quy hoạch tổng thể.", [100, 200, 700, 250], None, 1), ("page_number", "2", [500, 950, 520, 970], None, 1),
+]
+PUBLISHED_DIGEST = "9dccdb5baf6a918619fca79645b23d67bd749a85fe84c9cd609d3656a457efd0"
+
+
+def test_canonical_text(spark, tmp_path):
+    rows = [(k, 1, "test-document", "v1", k, page, kind, text, [float(x) for x in box], level, None, None, None, "x") for k, (kind, text, box, level, page) in enumerate(PUBLISHED_LIST)]
+    head = {"source_artifact_sha256": hashlib.sha256(b"source").hexdigest(), "parser": "mineru", "parser_version": "3.4.5", "parser_backend": "pipeline", "source_raw_artifact": "sample_content_list.json"}
+    blocks = physical.list_blocks(items(spark, rows)).withColumns({**{k: F.lit(v) for k, v in head.items()}, "width": F.lit(595.0), "height": F.lit(841.0)})
+    assert [(r["run_id"], r["sha256"]) for r in canonical.identities(blocks, 1).collect()] == [(1, PUBLISHED_DIGEST)]
+    chunks = canonical.chunks(blocks, 1).cache()
+    written = sinks.write_canonical(chunks, str(tmp_path / "out"), str(tmp_path / "raw")).collect()
+    data = (tmp_path / "out" / "1.json").read_bytes()
+    assert [(r["sha256"], r["byte_size"]) for r in written] == [(PUBLISHED_DIGEST, len(data))] and hashlib.sha256(data).hexdigest() == PUBLISHED_DIGEST and os.listdir(tmp_path / "out") == ["1.json"]
+    whole = json.loads(data)
+    assert canonical.canonical_json(whole).encode() == data and [len(p["blocks"]) for p in whole["pages"]] == [4, 3]
+    outline_row = spark.createDataFrame([(1, 5), (2, 1)], "run_id bigint, nodes int")
+    bound = canonical.source_binding(outline_row, canonical.identities(blocks, 1))
+    assert {r["run_id"]: r["rule_id"] for r in canonical.stale(bound, canonical.identities(blocks, 2)).collect()} == {1: "source_sha256_differs", 2: "document_missing"}
+
+
+def test_canonical_second_form_and_empty_pages(spark):
+    table = "<table><tr><td colspan='2'>đ</td></tr></table>"
+    rows = [(1, 7, "d", None, 0, 2, "table", None, None, None, table, None, None, "x"), (2, 7, "d", None, 1, 4, "image", "x", [0.0, 1.0, 2.0, 3.0], None, None, "a.png", None, "x"), (3, 8, "e", "v1", 0, 0, "text", "a\n\"b\"", None, 2, None, None, None, "x")]
+    chunks = canonical.chunks(physical.list_blocks(items(spark, rows)).withColumn("parser", F.lit(None).cast("string"))).collect()
+    texts = {r["run_id"]: r["chunk"] for r in chunks}
+    first, second = json.loads(texts[7]), json.loads(texts[8])
+    assert all(canonical.canonical_json(json.loads(t)) == t for t in texts.values()) and {r["run_id"]: r["n_chars"] for r in chunks} == {k: len(t) for k, t in texts.items()}
+    assert [len(p["blocks"]) for p in first["pages"]] == [0, 0, 1, 0, 1] and first["parser"] == "unknown" and first["version_id"] is None and first["page_count"] == 5
+    assert first["pages"][2]["blocks"][0]["table_structure"] == {"row_count": 1, "column_count": 2, "cells": [{"row_start": 0, "column_start": 0, "row_span": 1, "column_span": 2, "text": "đ", "is_header": False}]}
+    assert first["pages"][4]["blocks"][0]["visual_asset"]["storage_kind"] == "unavailable" and second["pages"][0]["blocks"][0]["text_extraction"] == {"method": "unknown", "confidence": None}
+    assert canonical.chunks(physical.list_blocks(items(spark, rows)).limit(0)).count() == 0
+
+
+def test_assets(spark):
+    png = base64.b64encode(b"\x89PNG\r\n\x1a\n12").decode()
+    got = {r["k"]: r for r in assets.embedded(spark.createDataFrame([(1, png, 0), (2, "", 0), (3, "AAA", 0), (4, "QUJD", 0), (5, None, 0)], "k int, image string, asset int"), ["k"], "image").collect()}
+    assert (got[1]["asset"]["media_type"], got[1]["asset"]["byte_size"], got[1]["asset"]["sha256"]) == ("image/png", 10, hashlib.sha256(b"\x89PNG\r\n\x1a\n12").hexdigest())
+    assert [got[k]["problem"] for k in (1, 2, 3, 4, 5)] == [None, "empty", "not_base64", "unknown_signature", None] and got[5]["asset"]["storage_kind"] == "unavailable"
+    rows = [(1, "images/a.gif", "src/auto"), (2, "../a.gif", "src"), (3, "none.png", "src"), (4, "empty.png", "src/."), (5, None, "src"), (6, "a.txt", "")]
+    files = spark.createDataFrame([("src/auto/images/a.gif", bytearray(b"GIF89a..")), ("./src/empty.png", bytearray(b"")), ("a.txt", bytearray(b"text"))], "file_path string, content binary")
+    found = assets.relative(spark.createDataFrame(rows, "k int, path string, directory string"), ["k"], "path", "directory", files).cache()
+    out = {r["k"]: r for r in found.collect()}
+    assert {k: r["problem"] for k, r in out.items()} == {1: None, 2: "unsafe_path", 3: None, 4: "empty_file", 5: None, 6: None}
+    assert (out[1]["asset"]["relative_path"], out[1]["asset"]["media_type"], out[1]["asset"]["byte_size"]) == ("src/auto/images/a.gif", "image/gif", 8) and out[6]["asset"]["media_type"] is None and out[3]["asset"]["storage_kind"] == "unavailable"
+    assert assets.contract_violations(found, ["k"]).count() == 0
+    broken = found.where("k = 1").withColumn("asset", F.struct(F.lit("embedded_raw").alias("storage_kind"), F.lit("p").alias("relative_path"), F.lit(None).cast("string").alias("media_type"), F.lit("s").alias("sha256"), F.lit(1).cast("bigint").alias("byte_size")))
+    assert [r["rule_id"] for r in assets.contract_violations(broken, ["k"]).collect()] == ["embedded_with_path"]
+
+
 def test_assignment_against_brute_force():
     def best(edges):
         top = (0, 0.0)
@@ -235,7 +291,7 @@ def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a|b", 0.5), ("c", None)], "name string, v double")
     assert sinks.markdown_report("R", {"T": df}) == "# R\n\n## T\n\n| name | v |\n|---|---|\n| a\\|b | 0.5000 |\n| c | N/A |\n"
     assert json.loads(sinks.evidence_json({"t": df}))["t"][1]["v"] is None
-    assert physical.canonical_json({"b": 1, "a": ["đ"]}) == '{\n  "b": 1,\n  "a": [\n    "đ"\n  ]\n}\n'
+    assert canonical.canonical_json({"b": 1, "a": ["đ"]}) == '{\n  "b": 1,\n  "a": [\n    "đ"\n  ]\n}\n'
 
 
 def test_streaming(spark, tmp_path):
