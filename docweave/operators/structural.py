@@ -65,9 +65,30 @@ def match(references: DataFrame, predictions: DataFrame, document: list[str]) ->
     return first.select(*columns).unionByName(exact.select(*columns)).unionByName(third).withColumnsRenamed({"_page": "page_index", "_kind": "kind", "_key": "ordinal_key"})
 
 
+def match_diagnostics(references: DataFrame, predictions: DataFrame, matched: DataFrame, document: list[str]) -> DataFrame:
+    """(document, page_index, kind, ordinal_key, category) of groups that matching could not tell apart.
+
+    ambiguous_duplicate_identity_title_excluded: a repeated identity was paired in order; ambiguous_duplicate_group_unmatched:
+    both sides have nodes, one has several, and some stay unmatched.
+    """
+    key = [*document, "page_index", "kind", "ordinal_key"]
+    grouped = lambda df, n: df.withColumn("ordinal_key", F.coalesce("ordinal_key", F.lit(""))).groupBy(*key).agg(F.count("*").alias(n))
+    pairs = matched.groupBy(*key).agg(F.count("*").alias("m"), F.bool_or("ambiguous").alias("a"))
+    every = grouped(references, "r").join(grouped(predictions, "p"), key).join(pairs, key, "left").fillna(0, ["m"]).fillna(False, ["a"])
+    left = ((F.col("r") > 1) | (F.col("p") > 1)) & ((F.col("m") < F.col("r")) | (F.col("m") < F.col("p")))
+    found = F.array(F.when(F.col("a"), "ambiguous_duplicate_identity_title_excluded"), F.when(left, "ambiguous_duplicate_group_unmatched"))
+    return every.select(*key, F.explode(F.array_compact(found)).alias("category"))
+
+
 def traces(references: DataFrame, predictions: DataFrame, matched: DataFrame, document: list[str]) -> DataFrame:
-    """(document, side, page_index, kind, ordinal_key, path, parent_path): nodes without a match, missed and invented ones."""
+    """(document, side, page_index, kind, ordinal_key, path, parent_path, block_kind, excerpt): nodes without a match, missed and invented ones.
+
+    Block kind and excerpt are those of an invented node's line, and null for missed ones, which have none.
+    """
     columns = [*document, "page_index", "kind", "ordinal_key", "path", "parent_path"]
+    for name in ("block_kind", "excerpt"):
+        references, predictions = (df if name in df.columns else df.withColumn(name, F.lit(None).cast("string")) for df in (references, predictions))
+        columns.append(name)
     missed = references.join(matched.select(*document, F.col("ref_id").alias("id")), [*document, "id"], "left_anti").select(F.lit("missed").alias("side"), *columns)
     invented = predictions.join(matched.select(*document, F.col("pred_id").alias("id")), [*document, "id"], "left_anti").select(F.lit("invented").alias("side"), *columns)
     return missed.unionByName(invented)
@@ -123,6 +144,13 @@ def jaccard(left: DataFrame, right: DataFrame, by: list[str], item: list[str]) -
     return both.withColumn("jaccard", F.try_divide(F.col("shared"), F.col("shared") + F.col("only_left") + F.col("only_right")))
 
 
+def shared_items(left: DataFrame, right: DataFrame, by: list[str], item: list[str]) -> DataFrame:
+    """(by, item, side): each item of two sets, as shared, only_left or only_right."""
+    a, b = left.select(*by, *item).distinct().withColumn("_a", F.lit(1)), right.select(*by, *item).distinct().withColumn("_b", F.lit(1))
+    side = F.when(F.col("_b").isNull(), "only_left").when(F.col("_a").isNull(), "only_right").otherwise("shared")
+    return a.join(b, [*by, *item], "full").select(*by, *item, side.alias("side"))
+
+
 def agreement(left: DataFrame, right: DataFrame, document: list[str]) -> DataFrame:
     """Per document, Jaccard of (kind, path) over legal kinds, generic sections and all."""
     generic = F.col("kind") == "generic_section"
