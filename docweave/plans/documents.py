@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from docweave.functions import columns as c
 from docweave.operators import audit, checks, lines
-from docweave.sources.tables import read_table
+from docweave.sources.tables import read_table, spread
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
-    return lines.line_events(read_table(spark, d, "documents").select("doc_id", "text"), ["doc_id"], "text")
+    return lines.line_events(spread(read_table(spark, d, "documents").select("doc_id", "text")), ["doc_id"], "text")
 
 
 def line_events(spark: SparkSession, d: str) -> DataFrame:
@@ -104,7 +104,7 @@ _ROMAN = """case when upper(s) <> '' and regexp_full_match(upper(s), 'M{0,3}(CM|
 
 ORACLE_SQL = {
     "line_events": _LINES + "select doc_id, cast(line_order as bigint) as line_order, cast(char_start as bigint) as char_start, cast(char_end as bigint) as char_end, md5(line) as line_md5 from events",
-    "block_partition_check": _LINES + """select doc_id, count(*) as lines, cast(min(char_start) as bigint) as first_start, cast(max(char_end) as bigint) as last_end, cast(sum(length(line)) as bigint) as characters, true as gapless from events group by doc_id""",
+    "block_partition_check": _LINES + """select doc_id, count(*) as lines, cast(min(char_start) as bigint) as first_start, cast(max(char_end) as bigint) as last_end, cast(sum(length(line)) as bigint) as characters, min(char_start) = 0 and sum(char_end - char_start) = max(char_end) and count(distinct char_start) = count(*) as gapless from events group by doc_id""",
     "reconstruct_text_sha": "select doc_id, sha256(text) as sha256 from documents where length(text) > 0",
     "artifact_inventory": "select doc_id, cast(octet_length(encode(text)) as bigint) as byte_size, sha256(text) as sha256 from documents where text is not null",
     "topk_examples": _LINES + """, ranked as (select coalesce(source, '(none)') as source, e.doc_id, cast(line_order as bigint) as line_order, cast(length(line) as bigint) as n,

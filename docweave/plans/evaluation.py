@@ -127,7 +127,7 @@ def _outline_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(references of each run's version, predicted nodes) for structural matching; outlines are made once and written."""
     blocks = physical.all_blocks(read_table(spark, d, "mineru_items"), read_table(spark, d, "marker_trees"))
     every = checkpointed(outline.nodes(outline.outline_records(blocks, "run_id"), "run_id").join(_run_names(spark, d), "run_id"))
-    runs = every.where("kind = 'document'").select(*RUN)
+    runs = every.where("kind = 'document'").select(*(F.concat(F.col(n)).alias(n) if n != "run_id" else (F.col(n) + 0).alias(n) for n in RUN))  # columns of their own, since both sides meet again
     predictions = every.where("kind <> 'document'").select(*RUN, "page_index", "kind", "ordinal_key", F.col("node_id").alias("id"), "path", "parent_path", "title", "block_kind", "excerpt")
     r = read_table(spark, d, "ref_nodes").select("document_id", "version_id", "page_index", "kind", "canonical_path", "created_at", "node_row_id", "ordinal_key", "parent_canonical_path", "title", "scored")
     once = physical.latest(r, ["document_id", "version_id", "page_index", "kind", "canonical_path"], "created_at", "node_row_id")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docweave.operators import assets, audit, canonical, checks, html_text, nested, outline, physical
 from docweave.plans import extraction_sql as sql
-from docweave.sources.tables import read_table, spread
+from docweave.sources.tables import checkpointed, read_table, spread
 
 
 def list_blocks_of(spark: SparkSession, d: str) -> DataFrame:
@@ -225,7 +225,7 @@ def outline_partition(spark: SparkSession, d: str) -> DataFrame:
 
 def hierarchy_edges(spark: SparkSession, d: str) -> DataFrame:
     """Broken nodes, anchors and parent edges of the outlines; none if all is well."""
-    records = text_outline(spark, d)
+    records = checkpointed(text_outline(spark, d))  # read three times
     n = outline.nodes(records, "doc_id")
     own = checks.node_violations(n, "doc_id").unionByName(checks.hierarchy_violations(n, "doc_id"))
     return own.unionByName(checks.anchor_violations(outline.anchors(records, "doc_id"), "doc_id").drop("block_id"))
@@ -260,7 +260,7 @@ def outline_binding(spark: SparkSession, d: str) -> DataFrame:
 
 def evidence_backing(spark: SparkSession, d: str) -> DataFrame:
     """Outline nodes whose marker or title is not backed by the text; none if all is well."""
-    records = text_outline(spark, d)
+    records = checkpointed(text_outline(spark, d))  # read twice
     return checks.evidence_violations(_text_blocks(spark, d), outline.nodes(records, "doc_id"), outline.anchors(records, "doc_id"), "doc_id")
 
 

@@ -52,11 +52,18 @@ def page_geometry(files: DataFrame) -> DataFrame:
 
 
 def page_methods(files: DataFrame) -> DataFrame:
-    """(directory, page_index, method): extraction methods by page from ``*_meta.json`` sidecars."""
+    """(directory, page_index, method): extraction methods by page from ``*_meta.json`` sidecars; see page_method_problems."""
     stats = files.where(F.col("path").endswith("_meta.json")).select("directory", F.explode(F.try_variant_get("tree", "$.page_stats", "array<struct<page_id:int,text_extraction_method:string>>")).alias("s"))
     return stats.select("directory", F.col("s.page_id").alias("page_index"), F.lower(F.trim("s.text_extraction_method")).alias("method"))
 
 
+def page_method_problems(methods: DataFrame, page_counts: DataFrame) -> DataFrame:
+    """(directory, page_index, problem): pages named twice, out of range, or without index or method."""
+    counted = methods.groupBy("directory", "page_index").agg(F.count("*").alias("n"), F.bool_or(F.coalesce("method", F.lit("")) == "").alias("blank")).join(page_counts.select("directory", "page_count"), "directory", "left")
+    found = F.array(F.when(F.col("n") > 1, "page_repeated"), F.when((F.col("page_index") < 0) | (F.col("page_index") >= F.col("page_count")), "page_out_of_range"), F.when(F.col("page_index").isNull() | F.col("blank"), "malformed"))
+    return counted.select("directory", "page_index", F.explode(F.array_compact(found)).alias("problem"))
+
+
 def run_records(inside: DataFrame, beside: DataFrame, directories: DataFrame) -> DataFrame:
     """(directory, path, problem): the run record inside or beside each raw directory; both, or neither, is a problem."""
     a, b = inside.select("directory", F.col("path").alias("inside")), beside.select("directory", F.col("path").alias("beside"))
@@ -140,3 +147,28 @@ def spatial_annotations(files: DataFrame) -> DataFrame:
     shape = "struct<document_id:string,version_id:string,audited_pages:array<struct<page_index:int,regions:array<struct<id:string,reading_order:int,kind:string,bbox:struct<x0:double,y0:double,x1:double,y1:double,coordinate_system:string>,text:string,heading_level:int>>>>>"
     a = files.select("path", F.from_json("raw", shape).alias("a")).select("path", "a.document_id", "a.version_id", F.explode("a.audited_pages").alias("p"))
     return a.select("path", "document_id", "version_id", "p.page_index", F.inline("p.regions"))
+
+
+def structural_annotations(files: DataFrame, audit_suffix: str = "audit.v4.json") -> tuple[DataFrame, DataFrame]:
+    """(node rows, problems) of structural annotation files ``*.v4.json``, audit files set aside; one file a document.
+
+    Problems: unreadable text, a file without document id, and documents that several files claim (none of them counts).
+    """
+    mine = files.where(F.col("path").endswith(".v4.json") & ~F.col("path").endswith(audit_suffix))
+    named = mine.select("path", "tree", F.try_variant_get("tree", "$.document_id", "string").alias("document_id"), F.try_variant_get("tree", "$.version_id", "string").alias("version_id"))
+    twice = named.where("document_id is not null").groupBy("document_id").agg(F.count("*").alias("n"), F.min("path").alias("path")).where("n > 1")
+    why = F.when(F.col("tree").isNull(), "unreadable").when(F.col("document_id").isNull(), "document_id_missing")
+    problems = named.select("path", why.alias("problem")).where("problem is not null").unionByName(twice.select("path", F.lit("document_repeated").alias("problem")))
+    good = named.where("document_id is not null").join(twice, "document_id", "left_anti")
+    pages = good.select("document_id", "version_id", F.posexplode(F.try_variant_get("tree", "$.audited_pages", "array<struct<page_index:int,nodes:array<variant>>>")).alias("page_position", "p"))
+    nodes = pages.select("document_id", "version_id", "page_position", "p.page_index", F.posexplode("p.nodes").alias("node_position", "n"))
+    texts = ("reference_record_id", "reference_instance_id", "parent_reference_instance_id", "kind", "ordinal_raw", "ordinal_key", "ordinal_system", "marker_text", "title", "canonical_path", "parent_canonical_path", "source_excerpt")
+    fields = [F.try_variant_get("n", f"$.{name}", "string").alias(name) for name in texts]
+    return nodes.select("document_id", "version_id", "page_index", "page_position", "node_position", *fields, F.try_variant_get("n", "$.scored", "boolean").alias("scored")), problems
+
+
+def sidecar_provenance(files: DataFrame) -> DataFrame:
+    """(directory, parser, parser_version, backend) that page-geometry sidecars state; the parser's name is mineru by default."""
+    sidecars = files.where(F.col("path").endswith("_middle.json"))
+    said = lambda n: F.nullif(F.trim(F.try_variant_get("tree", f"$.{n}", "string")), F.lit(""))
+    return sidecars.select("directory", F.coalesce(said("_parser"), F.lit("mineru")).alias("parser"), said("_version_name").alias("parser_version"), said("_backend").alias("backend"))

@@ -26,13 +26,17 @@ def spread(df: DataFrame, least: int | None = None) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """The frame written to the shared checkpoint folder, its lineage cut, so that losing an executor loses nothing.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a local one is made.
+    The folder is the session's ``spark.checkpoint.dir``.  Where that is unset a local one is made on a single machine
+    only; a cluster without a shared folder is an error.  Files go with the frame where the session sets
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", "") or os.path.join(tempfile.gettempdir(), f"docweave-{os.getuid()}")
-        sc.setCheckpointDir(folder)
+        folder = spark.conf.get("spark.checkpoint.dir", "")
+        if not folder and sc.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), f"docweave-{os.getuid()}"))
     return df.checkpoint(eager=True)
 
 

@@ -4,12 +4,14 @@ import itertools
 import json
 import os
 import random
+from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
+from docweave.__main__ import main as docweave_main
 from docweave.operators import assets, audit, canonical, checks, html_text, physical, spatial, structural
-from docweave.sources import raw, sinks
+from docweave.sources import evidence, raw, settings, sinks
 
 
 @pytest.mark.parametrize(
@@ -242,6 +244,36 @@ def test_cycles(spark):
     assert checks.cycles(e.limit(0), ["g"], "c", "p").count() == 0
 
 
+def rules(found):
+    return {r["rule_id"] for r in found.collect()}
+
+
+def test_every_rule_finds_its_planted_case(spark):
+    blocks = "run_id int, page_index int, reading_order int, block_id string"
+    assert rules(checks.page_violations(spark.createDataFrame([(1, 0, 0, "a"), (1, 0, 2, "b"), (2, 0, 0, "a"), (2, 0, 1, "a"), (3, 0, 0, "x"), (3, 0, 1, "y")], blocks))) == {"reading_order_not_contiguous", "block_id_repeated"}
+    assert sorted(r["run_id"] for r in checks.document_violations(spark.createDataFrame([(1, 1, 0, "a"), (2, 0, 0, "a"), (2, 2, 0, "b"), (3, 0, 0, "c")], blocks)).collect()) == [1, 2]
+    anchors = spark.createDataFrame([(1, "n", "b", "object", 0, None), (1, "n", "b", "body", None, 3), (1, "n", "b", "body", 3, 3), (1, "n", "b", "body", 0, 3)], "k int, node_id string, block_id string, role string, char_start int, char_end int")
+    assert [r["rule_id"] for r in checks.anchor_violations(anchors, "k").collect()] == ["object_with_offsets", "text_without_span", "text_without_span"]
+    nodes = "k int, sequence int, node_id string, kind string, method string, parent_id string, depth int, ordinal_raw string, ordinal_key string, marker_text string, title string, path string"
+    root = (1, 0, "r", "document", "document_root", None, 0, None, None, None, None, "document")
+    good = [root, (1, 1, "a", "article", "explicit_legal_marker", "r", 1, "1", "1", "Điều 1.", None, "article:1"), (1, 2, "c", "clause", "contextual_clause", "a", 2, "2", "2", "2.", None, "article:1/clause:2")]
+    frame = lambda *rows: spark.createDataFrame([*good, *rows], nodes)
+    assert checks.node_violations(frame(), "k").count() == 0 == checks.hierarchy_violations(frame(), "k").count()
+    bad = [(1, 3, "d", "article", "explicit_legal_marker", "c", 1, "I", "1", None, None, "article:9"), (1, 4, "e", "part", "explicit_legal_marker", "z", 1, "2", None, "x", None, "part:2"), (1, 0, "f", "clause", "contextual_clause", "a", 2, "2", "2", "2.", None, "article:1/clause:2"), (2, 0, "g", "document", "document_root", None, 0, "1", None, None, None, "document")]
+    assert rules(checks.node_violations(frame(*bad), "k")) == {"root_with_marker", "node_without_marker", "raw_without_key", "key_not_recomputed", "path_segment"}
+    assert rules(checks.hierarchy_violations(frame(*bad), "k")) == {"parent_missing", "parent_not_earlier", "depth_not_parent_plus_one", "parent_kind", "path_not_extending", "path_repeated"}
+    text = spark.createDataFrame([(1, "a", 0, "content", "abc"), (1, "b", 0, "content", "abc"), (1, "c", 0, "content", ""), (1, "d", 0, "discarded", "abc"), (1, "f", 0, "content", "abc")], "k int, block_id string, page_index int, disposition string, text string")
+    spans = [(1, "a", 0, "body", 0, 2), (1, "a", 0, "body", 2, 3), (1, "b", 0, "body", 0, 2), (1, "d", 0, "body", 0, 3), (1, "e", 0, "body", 0, 3), (1, "f", 1, "body", 0, 3)]
+    partition = checks.anchor_partition(text, spark.createDataFrame(spans, "k int, block_id string, page_index int, role string, char_start int, char_end int"), "k")
+    assert {(r["block_id"], r["rule_id"]) for r in partition.collect()} == {("b", "text_not_covered"), ("c", "empty_block_not_owned_once"), ("d", "anchor_on_other_block"), ("e", "anchor_on_unknown_block"), ("f", "anchor_on_other_page")}
+    manifest = {"manifest_row_id": 1, "landing_page_url": "https://a/x", "asset_url": "https://a/y", "artifact_filename": "a.pdf", "sha256": "0" * 64, "byte_size": 1, "document_id": "a-1", "version_id": "v1", "issued_on": date(2024, 1, 2), "effective_on": None}
+    wrong = {"landing_page_url": "http://a", "asset_url": None, "artifact_filename": "a/b", "sha256": "x", "byte_size": 0, "document_id": "A", "version_id": "1", "effective_on": date(2024, 1, 1)}
+    schema = "manifest_row_id int, landing_page_url string, asset_url string, artifact_filename string, sha256 string, byte_size int, document_id string, version_id string, issued_on date, effective_on date"
+    of = lambda *changes: rules(checks.manifest_violations(spark.createDataFrame([tuple((manifest | c).values()) for c in changes], schema)))
+    assert of({}) == set() and of(wrong, {"asset_url": "https://a/x"}) == {"landing_page_not_https", "asset_not_https", "addresses_equal", "file_name_not_plain", "sha256_malformed", "size_not_positive", "document_id_malformed", "version_id_malformed", "effective_before_issue"}
+    assert of() == set()
+
+
 def test_strict_mode(spark):
     with pytest.raises(checks.IntegrityError):
         checks.require(checks.violations(spark.createDataFrame([(1,)], "k int"), ["k"], {"bad": F.col("k") == 1}))
@@ -294,6 +326,74 @@ def test_sinks(spark, tmp_path):
     assert canonical.canonical_json({"b": 1, "a": ["đ"]}) == '{\n  "b": 1,\n  "a": [\n    "đ"\n  ]\n}\n'
 
 
+def test_more_files(spark, tmp_path):
+    node = {"reference_record_id": "r", "kind": "article", "canonical_path": "article:1", "scored": True, "title": None}
+    files = {"a.v4.json": {"document_id": "a", "version_id": "v1", "audited_pages": [{"page_index": 2, "nodes": [node, {}]}]}, "b.v4.json": {"document_id": "b"}, "c.v4.json": {"document_id": "b"}, "d.v4.json": {}, "x.audit.v4.json": {"document_id": "z"}, "e.v3.json": {"document_id": "e"}}
+    for name, value in files.items():
+        (tmp_path / name).write_text(json.dumps(value))
+    (tmp_path / "f.v4.json").write_text("{")
+    (tmp_path / "s_middle.json").write_text(json.dumps({"_version_name": " 3.1 ", "_backend": ""}))
+    (tmp_path / "t_meta.json").write_text(json.dumps({"page_stats": [{"page_id": 0, "text_extraction_method": "pdftext"}, {"page_id": 0, "text_extraction_method": "pdftext"}, {"page_id": 9, "text_extraction_method": " "}]}))
+    read = raw.json_files(spark, str(tmp_path))
+    nodes, problems = raw.structural_annotations(read)
+    assert [(r["document_id"], r["page_index"], r["node_position"], r["kind"], r["scored"]) for r in nodes.orderBy("node_position").collect()] == [("a", 2, 0, "article", True), ("a", 2, 1, None, None)]
+    assert {(r["path"].rsplit("/", 1)[1], r["problem"]) for r in problems.collect()} == {("b.v4.json", "document_repeated"), ("d.v4.json", "document_id_missing"), ("f.v4.json", "unreadable")}
+    assert [tuple(r)[1:] for r in raw.sidecar_provenance(read).collect()] == [("mineru", "3.1", None)]
+    methods = raw.page_methods(read)
+    counts = methods.select("directory", F.lit(3).alias("page_count")).distinct()
+    assert {(r["page_index"], r["problem"]) for r in raw.page_method_problems(methods, counts).collect()} == {(0, "page_repeated"), (9, "page_out_of_range"), (9, "malformed")}
+    one = spark.createDataFrame([("d1", "p1"), ("d2", "p2")], "directory string, path string")
+    every = spark.createDataFrame([("d1",), ("d2",), ("d3",)], "directory string")
+    assert {r["directory"]: r["problem"] for r in raw.run_records(one, one.where("directory = 'd2'"), every).collect()} == {"d1": None, "d2": "two run records", "d3": "no run record"}
+
+
+def test_evidence_and_settings(spark, tmp_path, monkeypatch):
+    t = spark.createDataFrame([("a", 0.5)], "name string, v double")
+    digests = evidence.write_evidence(tmp_path / "e", {"scores": {"t": t}}, {"corpus": evidence.corpus_report(t, t, t)})
+    assert sorted(digests) == ["corpus.md", "scores.json"] and evidence.verify_evidence(tmp_path / "e") == [] and evidence.verify_against(tmp_path / "e", {"scores": {"t": t}}) == []
+    assert docweave_main(["verify", str(tmp_path / "e")]) == 0
+    (tmp_path / "e" / "scores.json").write_text("{}\n")
+    (tmp_path / "e" / "more.md").write_text("x")
+    (tmp_path / "e" / "corpus.md").unlink()
+    assert evidence.verify_evidence(tmp_path / "e") == [("corpus.md", "missing"), ("scores.json", "size"), ("scores.json", "sha256"), ("more.md", "not_listed")]
+    assert docweave_main(["verify", str(tmp_path / "e")]) == 1 and evidence.verify_against(tmp_path / "e", {"scores": {"t": t}}) == ["scores"]
+    for report in (evidence.parser_report("x", t, t, t), evidence.gap_report(t, t, t), evidence.physical_report(t, t, t, t), evidence.structural_report(t, t, t, t, t)):
+        assert report.startswith("# ") and "| a | 0.5000 |" in report
+    (tmp_path / "run" / "raw" / "sub").mkdir(parents=True)
+    (tmp_path / "run" / "raw" / "sub" / "x.json").write_text("1")
+    assert docweave_main(["record", str(tmp_path / "run" / "raw"), "--run", '{"parser": "marker"}']) == 0
+    record = json.loads((tmp_path / "run" / "run.json").read_text())
+    assert record["parser"] == "marker" and record["artifacts"] == [{"relative_path": "sub/x.json", "byte_size": 1, "sha256": hashlib.sha256(b"1").hexdigest()}]
+    with pytest.raises(sinks.OverwriteError):
+        evidence.write_run_record(tmp_path / "run" / "raw", {})
+    (tmp_path / ".env").write_text("# x\nexport DOCWEAVE_DATA_DIR='d'\nDOCWEAVE_SHUFFLE_PARTITIONS=5\nOTHER=1\n")
+    got = settings.load({"docweave_shuffle_partitions": "7"}, tmp_path / ".env")
+    assert (got.data_dir, got.shuffle_partitions, got.output_dir) == ("d", 7, "out")
+    with pytest.raises(ValueError):
+        settings.load({"DOCWEAVE_SHUFFLE_PARTITIONS": "x"}, tmp_path / "none")
+    assert [tuple(r) for r in evidence.catalog(spark, {"b": ["marker"], "a": []}).collect()] == [("b", "marker", "data/raw/b/marker/raw", "data/physical_ir/b/marker.v1.json", "data/structural_ir/b/marker.v1.json")]
+
+
+def test_audit_operators(spark):
+    rows = [("d", "m", "a", 1), ("d", "m", "b", 1), ("e", "n", "a", 2)]
+    df = spark.createDataFrame(rows, "doc string, parser string, kind string, page int")
+    got = {(r["grouping"], r["doc"], r["parser"], r["kind"]): r["n"] for r in audit.totals_by(df, ["doc"], ["parser", "kind"]).collect()}
+    assert got == {("", None, None, None): 3, ("doc", "d", None, None): 2, ("doc", "e", None, None): 1, ("parser+kind", None, "m", "a"): 1, ("parser+kind", None, "m", "b"): 1, ("parser+kind", None, "n", "a"): 1}
+    b = spark.createDataFrame([(1, True), (1, None), (2, True), (2, False), (3, None)], "k int, v boolean")
+    assert {r["k"]: (r["value"], r["conflict"]) for r in audit.boolean_agreement(b, ["k"], "v").collect()} == {1: (True, False), 2: (None, True), 3: (None, False)}
+    z = spark.createDataFrame([(1,), (2,), (2,)], "k int")
+    assert {(r["k"], r["rule_id"]) for r in audit.zipped(z, spark.createDataFrame([(2,), (3,)], "k int"), ["k"]).collect()} == {(1, "only_first"), (2, "place_repeated"), (3, "only_second")}
+
+
+def test_match_diagnostics(spark):
+    node = lambda side, n, path, parent: (1, 0, "clause", "1", f"{side}{n}", path, parent, None)
+    r = spark.createDataFrame([node("r", 1, "a", "x"), node("r", 2, "a", "x"), node("r", 3, "b", "y")], NODES)
+    p = spark.createDataFrame([node("p", 1, "a", "x"), node("p", 2, "a", "x"), node("p", 3, "c", "z")], NODES)
+    m = structural.match(r, p, ["d"])
+    assert {x["category"] for x in structural.match_diagnostics(r, p, m, ["d"]).collect()} == {"ambiguous_duplicate_identity_title_excluded", "ambiguous_duplicate_group_unmatched"}
+    assert {(x["path"], x["side"]) for x in structural.shared_items(r, p, ["d"], ["path"]).collect()} == {("a", "shared"), ("b", "only_left"), ("c", "only_right")}
+
+
 def test_streaming(spark, tmp_path):
     from docweave.streaming.ingest import ingest
 
