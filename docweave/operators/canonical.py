@@ -49,19 +49,33 @@ def _table(html: str | None) -> dict[str, Any] | None:
 _NO_ASSET = {"storage_kind": "unavailable", "relative_path": None, "media_type": None, "sha256": None, "byte_size": None}
 
 
-def block_value(b: dict[str, Any], run: dict[str, Any], generation: int) -> dict[str, Any]:
-    """A block as it is written; ``generation`` 1 or 2."""
-    provenance = {"parser": run["parser"], "parser_version": run["parser_version"], "parser_backend": run["parser_backend"], "source_raw_artifact": b["source_raw_artifact"], "source_raw_index": b["raw_index"]}
-    out = {
-        "id": b["block_id"], "page_index": b["page_index"], "reading_order": b["reading_order"], "kind": b["kind"], "disposition": b["disposition"], "text": b["text"],
-        "bbox": {**{n: b[n] for n in ("x0", "y0", "x1", "y1")}, "coordinate_system": "normalized_1000"}, "heading_level": b["heading_level"] if b["kind"] == "title" else None, "provenance": provenance,
-    }
+def _scalar(value: Any) -> str:
+    """A number, text or null as JSON; ValueError for a number that is not finite."""
+    return json.dumps(value, ensure_ascii=False, allow_nan=False)
+
+
+def _members(pairs: list[tuple[str, str]], indent: int) -> str:
+    """Members of an object whose values are JSON already, in the order given."""
+    blank = "\n" + " " * indent
+    return "{" + blank + f",{blank}".join(f'"{name}": {value}' for name, value in pairs) + "\n" + " " * (indent - 2) + "}"
+
+
+def block_text(b: dict[str, Any], run: dict[str, str], generation: int) -> str:
+    """A block as it is written inside its page; ``generation`` 1 or 2, ``run`` the run's parser fields as JSON."""
+    provenance = [*run.items(), ("source_raw_artifact", _scalar(b["source_raw_artifact"])), ("source_raw_index", _scalar(b["raw_index"]))]
+    box = [*((n, _scalar(b[n])) for n in ("x0", "y0", "x1", "y1")), ("coordinate_system", '"normalized_1000"')]
+    own = [
+        ("id", _scalar(b["block_id"])), ("page_index", _scalar(b["page_index"])), ("reading_order", _scalar(b["reading_order"])), ("kind", _scalar(b["kind"])), ("disposition", _scalar(b["disposition"])), ("text", _scalar(b["text"])),
+        ("bbox", _members(box, 12)), ("heading_level", _scalar(b["heading_level"] if b["kind"] == "title" else None)),
+    ]
+    if generation == 2:
+        provenance.append(("source_raw_type", _scalar(b["raw_type"])))
+    own.append(("provenance", _members(provenance, 12)))
     if generation == 2:
-        provenance["source_raw_type"] = b["raw_type"]
-        out["text_extraction"] = {"method": b["extraction_method"] or "unknown", "confidence": None} if b["text"] else None
-        out["table_structure"] = _table(b["table_html"]) if b["kind"] == "table" else None
-        out["visual_asset"] = (b["asset"] or _NO_ASSET) if b["kind"] in ("figure", "image") else None
-    return out
+        own.append(("text_extraction", _members([("method", _scalar(b["extraction_method"] or "unknown")), ("confidence", "null")], 12) if b["text"] else "null"))
+        own.append(("table_structure", _indented(_table(b["table_html"]), 10) if b["kind"] == "table" else "null"))
+        own.append(("visual_asset", _indented(b["asset"] or _NO_ASSET, 10) if b["kind"] in ("figure", "image") else "null"))
+    return _members(own, 10)
 
 
 def _indented(value: Any, by: int) -> str:
@@ -74,6 +88,7 @@ class Writer:
 
     def __init__(self, run: dict[str, Any], generation: int) -> None:
         self.run, self.generation, self.next = run, generation, 0
+        self.parser = {n: _scalar(run[n]) for n in ("parser", "parser_version", "parser_backend")}
 
     def begin(self) -> str:
         head = {"physical_ir_version": self.generation, **{n: self.run[n] for n in HEADER}, "page_count": self.run["page_count"]}
@@ -84,8 +99,9 @@ class Writer:
         out = []
         for n in range(self.next, number + 1):
             own = blocks if n == number else []
-            size = {"width": own[0]["width"] if own else None, "height": own[0]["height"] if own else None}
-            out.append(f"{',' if n else ''}\n    " + _indented({"page_index": n, **size, "blocks": [block_value(b, self.run, self.generation) for b in own]}, 4))
+            texts = ",\n        ".join(block_text(b, self.parser, self.generation) for b in own)
+            size = [("width", _scalar(own[0]["width"] if own else None)), ("height", _scalar(own[0]["height"] if own else None))]
+            out.append(f"{',' if n else ''}\n    " + _members([("page_index", _scalar(n)), *size, ("blocks", f"[\n        {texts}\n      ]" if own else "[]")], 6))
         self.next = number + 1
         return "".join(out)
 

@@ -23,13 +23,12 @@ BLOCK_COLUMNS = (
 
 
 def latest(df: DataFrame, keys: list[str], *newest: str) -> DataFrame:
-    """One row per key, the one delivered last; ties go to the larger of the further columns.
+    """One row per key, the one delivered last: the largest of the ``newest`` columns in turn; of rows repeated as a whole, one.
 
-    An aggregation with partial results before the shuffle, so that a row delivered many times costs no hot window.
+    The rank is limited to 1 before the shuffle as well as after it, so that a row delivered many times makes no hot window.
     """
-    rest = [x for x in df.columns if x not in keys and x not in newest]
-    best = df.groupBy(*keys).agg(F.max(F.struct(*newest, *(F.struct(x).alias(f"_{k}") if dict(df.dtypes)[x].startswith("map") else F.col(x) for k, x in enumerate(rest)))).alias("_b"))
-    return best.select(*keys, *(F.col(f"_b.{x}").alias(x) for x in (*newest, *rest)))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*(F.col(n).desc() for n in newest)))
+    return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
 def latest_wide(df: DataFrame, keys: list[str], newest: str, row_id: str) -> DataFrame:

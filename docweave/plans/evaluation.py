@@ -24,9 +24,10 @@ def _regions(spark: SparkSession, d: str) -> DataFrame:
     return once.select("document_id", "version_id", "page_index", F.col("region_id").alias("id"), F.col("reading_order").alias("order"), "kind", *(F.col(f"bbox.{x}").alias(x) for x in spatial.BOX))
 
 
-def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _sides(spark: SparkSession, d: str, lists_only: bool = False) -> tuple[DataFrame, DataFrame]:
     """References repeated for each run of their version, and the run's blocks on the audited pages; runs of both parsers."""
-    blocks = physical.all_blocks(read_table(spark, d, "mineru_items"), read_table(spark, d, "marker_trees"))
+    items = read_table(spark, d, "mineru_items")
+    blocks = physical.list_blocks(items).withColumn("parser", F.lit("mineru")) if lists_only else physical.all_blocks(items, read_table(spark, d, "marker_trees"))
     regions = _regions(spark, d)
     pages = regions.select("document_id", "version_id", "page_index").distinct()
     predictions = blocks.join(pages, ["document_id", "version_id", "page_index"], "left_semi").select(*RUN_PAGE, F.col("block_id").alias("id"), F.col("reading_order").alias("order"), "kind", *spatial.BOX)
@@ -36,7 +37,7 @@ def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def iou_edges(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of regions and blocks that overlap by half, for the flat lists only, as its SQL has them; iou_edges_all has both parsers."""
-    return iou_edges_all(spark, d).where("parser = 'mineru'").drop("parser")
+    return spatial.candidate_edges(*_sides(spark, d, lists_only=True), RUN_PAGE).drop("parser")
 
 
 def iou_edges_all(spark: SparkSession, d: str) -> DataFrame:
