@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 from collections.abc import Iterator
+from json.encoder import encode_basestring
 from typing import Any
 
 import pyarrow as pa
@@ -51,7 +53,13 @@ _NO_ASSET = {"storage_kind": "unavailable", "relative_path": None, "media_type":
 
 def _scalar(value: Any) -> str:
     """A number, text or null as JSON; ValueError for a number that is not finite."""
-    return json.dumps(value, ensure_ascii=False, allow_nan=False)
+    if isinstance(value, str):
+        return encode_basestring(value)
+    if value is None:
+        return "null"
+    if isinstance(value, float) and math.isfinite(value) or type(value) is int:
+        return repr(value)
+    return json.dumps(value, allow_nan=False)
 
 
 def _members(pairs: list[tuple[str, str]], indent: int) -> str:
