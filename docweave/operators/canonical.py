@@ -17,6 +17,7 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docweave.operators.html_text import HtmlError, table_grid
 
@@ -119,6 +120,7 @@ class Writer:
 
 
 def _prepared(blocks: DataFrame, generation: int) -> DataFrame:
+    """The columns that are written, with each run in one partition."""
     have = set(blocks.columns)
     kinds = {"source_raw_artifact": "string", "extraction_method": "string", "width": "double", "height": "double", "asset": "struct<storage_kind:string,relative_path:string,media_type:string,sha256:string,byte_size:bigint>", **dict.fromkeys(HEADER, "string")}
     name = {"kind": "kind_v0", "disposition": "disposition_v0"} if generation == 1 else {}
@@ -128,22 +130,23 @@ def _prepared(blocks: DataFrame, generation: int) -> DataFrame:
         value = F.col(source) if source in have else F.lit(None).cast(kinds[n])
         return (F.coalesce(value, F.lit("unknown")) if n.startswith("parser") or n == "source_raw_artifact" else value).alias(n)
 
-    pages = blocks.groupBy("run_id").agg((F.max("page_index") + 1).cast("int").alias("page_count"))
-    given = "page_count" in have
-    rows = blocks.select("run_id", *map(column, HEADER), *(column(n) for n in _BLOCK), *(["page_count"] if given else []))
-    return rows if given else rows.join(pages, "run_id")
+    rows = blocks.select("run_id", *map(column, HEADER), *(column(n) for n in _BLOCK), *(["page_count"] if "page_count" in have else []))
+    if "page_count" in have:
+        return rows.repartition("run_id")
+    # the same exchange serves the count and the writer
+    return rows.withColumn("page_count", (F.max("page_index").over(Window.partitionBy("run_id")) + 1).cast("int"))
 
 
 def chunks(blocks: DataFrame, generation: int = 2, with_text: bool = True) -> DataFrame:
-    """(run_id, part, chunk, sha256, n_chars): each run's canonical text in parts; the last part has the hash and length of the whole.
+    """(run_id, part, chunk, sha256, n_chars, parser): each run's canonical text in parts; the last part has the hash and length of the whole, and the parser.
 
     ``blocks``: the block table of one or more runs, with HEADER's columns where known (parser fields are 'unknown' if
     null or missing), and page_count, width, height, source_raw_artifact, extraction_method and asset where known.  Null
     boxes are written as nulls.  Runs without blocks have no text; blocks of equal place are taken by block id.
     ``with_text`` False leaves the text out, for the hash alone.
     """
-    rows = _prepared(blocks, generation).repartition("run_id").sortWithinPartitions("run_id", "page_index", "reading_order", "block_id")
-    schema = pa.schema([("run_id", pa.int64()), ("part", pa.int32()), ("chunk", pa.string()), ("sha256", pa.string()), ("n_chars", pa.int64())])
+    rows = _prepared(blocks, generation).sortWithinPartitions("run_id", "page_index", "reading_order", "block_id")
+    schema = pa.schema([("run_id", pa.int64()), ("part", pa.int32()), ("chunk", pa.string()), ("sha256", pa.string()), ("n_chars", pa.int64()), ("parser", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer: Writer | None = None
@@ -161,7 +164,7 @@ def chunks(blocks: DataFrame, generation: int = 2, with_text: bool = True) -> Da
                 held.append(text)
                 waiting += len(text)
                 if waiting > CHUNK:
-                    out.append((key, part, "".join(held), None, None))
+                    out.append((key, part, "".join(held), None, None, None))
                     held.clear()
                     part, waiting = part + 1, 0
 
@@ -169,7 +172,7 @@ def chunks(blocks: DataFrame, generation: int = 2, with_text: bool = True) -> Da
             if writer is not None:
                 put(writer.page(number, page))
                 put(writer.end())
-                out.append((key, part, "".join(held) if with_text else None, digest.hexdigest(), size))
+                out.append((key, part, "".join(held) if with_text else None, digest.hexdigest(), size, writer.run["parser"]))
                 held.clear()
 
         def flush() -> pa.RecordBatch:
@@ -196,7 +199,7 @@ def chunks(blocks: DataFrame, generation: int = 2, with_text: bool = True) -> Da
         if out:
             yield flush()
 
-    return rows.mapInArrow(run, "run_id bigint, part int, chunk string, sha256 string, n_chars bigint")
+    return rows.mapInArrow(run, "run_id bigint, part int, chunk string, sha256 string, n_chars bigint, parser string")
 
 
 def identities(blocks: DataFrame, generation: int = 2) -> DataFrame:

@@ -140,17 +140,17 @@ def prf(tp: Column, fp: Column, fn: Column) -> list[Column]:
 def overall(references: DataFrame, predictions: DataFrame, matched: DataFrame, document: list[str]) -> DataFrame:
     """(document, references, predictions, tp, fp, fn, precision, recall, f1, mean_iou, accuracy).
 
-    ``matched`` has ``same``: whether a pair's categories agree; ``accuracy`` is the share of pairs for which they do.
+    ``matched`` may have ``same``: whether a pair's categories agree; ``accuracy`` is the share of pairs for which they do.
     Mean IoU and accuracy are 0 without a match; the mean is rounded to 6 places, since sums depend on their order.
     """
     counts = (
         references.groupBy(*document).agg(F.count("*").alias("references"))
         .join(predictions.groupBy(*document).agg(F.count("*").alias("predictions")), document, "full")
-        .join(matched.groupBy(*document).agg(F.count("*").alias("tp"), F.round(F.avg("iou"), 6).alias("mean_iou"), F.count_if("same").alias("_same")), document, "left")
-        .fillna(0, ["references", "predictions", "tp", "_same"]).fillna(0.0, ["mean_iou"])
+        .join(matched.groupBy(*document).agg(F.count("*").alias("tp"), F.round(F.avg("iou"), 6).alias("mean_iou"), (F.count_if("same") if "same" in matched.columns else F.max(F.lit(None).cast("bigint"))).alias("_same")), document, "left")
+        .fillna(0, ["references", "predictions", "tp", *(["_same"] if "same" in matched.columns else [])]).fillna(0.0, ["mean_iou"])
     )
     tp, fp, fn = F.col("tp"), F.col("predictions") - F.col("tp"), F.col("references") - F.col("tp")
-    return counts.select(*document, "references", "predictions", "tp", fp.alias("fp"), fn.alias("fn"), *prf(tp, fp, fn), "mean_iou", share(F.col("_same"), tp).alias("accuracy"))
+    return counts.select(*document, "references", "predictions", "tp", fp.alias("fp"), fn.alias("fn"), *prf(tp, fp, fn), "mean_iou", (share(F.col("_same"), tp) if "same" in matched.columns else F.lit(None).cast("double")).alias("accuracy"))
 
 
 def confusion(pairs: DataFrame, unmatched_references: DataFrame, unmatched_predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:

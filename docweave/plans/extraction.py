@@ -111,7 +111,7 @@ def _documents_of(spark: SparkSession, d: str, blocks: DataFrame) -> DataFrame:
 def canonical_identity(spark: SparkSession, d: str) -> DataFrame:
     """Identity hash of each run's canonical physical document, for both parsers."""
     blocks = physical.all_blocks(read_table(spark, d, "mineru_items"), read_table(spark, d, "marker_trees"))
-    return canonical.identities(_documents_of(spark, d, blocks))
+    return canonical.chunks(_documents_of(spark, d, blocks), with_text=False).select("run_id", "parser", "sha256", "n_chars")
 
 
 def canonical_identity_lists(spark: SparkSession, d: str) -> DataFrame:

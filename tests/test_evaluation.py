@@ -3,7 +3,7 @@ import json
 
 import pytest
 
-from docweave.plans import evaluation, extraction
+from docweave.plans import audits, evaluation, extraction
 
 NOW = datetime.datetime(2024, 1, 1)
 
@@ -19,7 +19,8 @@ def tables(spark, tmp_path_factory):
         "marker_trees": ([(1, 7, "d", "v1", NOW, json.dumps({"block_type": "Document", "children": [page]}))], "tree_id bigint, run_id bigint, document_id string, version_id string, ingested_at timestamp, raw_json string"),
         "mineru_items": ([(1, 8, "e", "v1", 0, 0, "text", "x", [0.0, 0.0, 500.0, 500.0], None, None, None, NOW)], "item_id bigint, run_id bigint, document_id string, version_id string, raw_index int, page_idx int, item_type string, item_text string, bbox array<double>, text_level int, table_body string, img_path string, ingested_at timestamp"),
         "ref_regions": ([(k, x, "v1", "1", 0, "r", 0, "text", (0.0, 0.0, 500.0, 500.0, "n"), None, NOW) for k, x in enumerate("de")], "region_row_id bigint, document_id string, version_id string, annotation_version string, page_index int, region_id string, reading_order int, kind string, bbox struct<x0:double,y0:double,x1:double,y1:double,coordinate_system:string>, heading_level int, created_at timestamp"),
-        "parser_runs": ([(7, 2.0), (8, 4.0)], "run_id bigint, duration_seconds double"),
+        "parser_runs": ([(7, "d", "v1", "A" * 64, "Marker", None, " ", "success", 2.0, True), (8, "e", "v1", "b" * 64, "mineru", "3.4.5", "pipeline", "failed", 4.0, None)], "run_id bigint, document_id string, version_id string, input_sha256 string, parser string, parser_version string, backend string, run_status string, duration_seconds double, disable_ocr boolean"),
+        "manifests": ([("d", "v1", "a" * 64), ("e", "v1", "c" * 64)], "document_id string, version_id string, sha256 string"),
     }
     for name, (data, schema) in rows.items():
         spark.createDataFrame(data, schema).write.parquet(str(d / f"{name}.parquet"))
@@ -42,3 +43,13 @@ def test_audits_cover_both_parsers(spark, tables):
     assert rows(extraction.table_shapes_all, "table_id", "row_count", "column_count", "cells") == {("marker/7/0/1", 1, 2, 2), ("marker/7/0/2/0", 1, 2, 2)}
     assert {"marker", "mineru"} == {p for p, in rows(extraction.kind_disposition_matrix_all, "parser")} == {p for p, in rows(extraction.kind_transitions_all, "parser")}
     assert extraction.block_checks_all(spark, tables).count() == extraction.page_checks_all(spark, tables).count() == 0
+
+
+def test_runs_that_cannot_be_scored_and_conflicts(spark, tables):
+    rows = lambda query, *columns: {tuple(r[c] for c in columns) for r in query(spark, tables).collect()}
+    assert rows(evaluation.evaluation_problems, "run_id", "rule_id") == {(8, "source_sha256_differs")}
+    assert rows(audits.run_provenance_conflicts, "run_id", "field") == {(7, "parser"), (7, "input_sha256"), (8, "input_sha256")}
+    assert rows(audits.benchmark_runs, "run_id", "blocks", "pages_per_second") == {(7, 3, 0.5)} and rows(audits.ocr_agreement, "document_id", "value", "conflict") == {("d", True, False), ("e", None, False)}
+    assert rows(audits.run_histograms, "parser", "measure", "value", "n") >= {("marker", "kind", "table", 1), ("mineru", "transition", "text>text", 1), ("marker", "raw_type", "TableGroup", 1)}
+    assert audits.diagram_pages(spark, tables).count() == audits.provenance_variants(spark, tables).count() == audits.duplicate_rejections(spark, tables).where("grouping <> ''").count() == 0
+    assert rows(extraction.outline_binding, "run_id", "nodes") == {(7, 1), (8, 1)} and extraction.canonical_determinism(spark, tables).count() == 0
